@@ -153,7 +153,7 @@ def leaks(
     """
     spark = documents.sparkSession
     kind = documents.schema[key].dataType.simpleString()
-    source = documents.select(F.col(key).alias("_key"), F.col(field).alias("_text")).where(F.col("_text").isNotNull())
+    source = documents.select(F.col(key).cast("string").alias("_key"), F.col(field).alias("_text")).where(F.col("_text").isNotNull())
     blocks, block, size = [], [], 0
     wanted = items.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_field).alias("t")).where("i is not null and t is not null")
     for row in wanted.orderBy("i", "t").toLocalIterator():
@@ -164,8 +164,8 @@ def leaks(
     found = []
     for part in [*blocks, block]:
         shared = spark.sparkContext.broadcast(Items(part, run, budget))
-        found.append(source.mapInPandas(_searched(shared), f"_key {kind}, {_FIELDS}"))
+        found.append(source.mapInPandas(_searched(shared), f"_key string, {_FIELDS}"))
     result = found[0]
     for more in found[1:]:
         result = result.unionByName(more)
-    return result.withColumnRenamed("_key", key)
+    return result.select(F.col("_key").cast(kind).alias(key), "item_id", "words", "distance")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import distinctive, encoding, leakage, lookalike, near_duplicates, neighbours, shared_spans, term_counts
+from siftline.llm import alignment, distinctive, encoding, leakage, lookalike, near_duplicates, neighbours, reading_level, shared_spans, term_counts
 from siftline.llm.common import records, table, valid_builds
 from siftline.session import cut
 
@@ -74,6 +74,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.pairs(*_p4(spark, folder))
 
 
+def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of sentences with the number of correspondences that join them."""
+    rows = records(table(spark, folder, "hadiths"), "ar.matn", "en")
+    return alignment.aligned(rows, table(spark, folder, "glossary"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_pairs(spark, folder).select("rec_id", "ar_sent", "en_sent")
+
+
 P6_LEAST = 0.9
 
 
@@ -119,6 +129,16 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_leaks(spark, folder).where(F.col("words") >= leakage.RUN).select("doc_id", "item_id").distinct()
 
 
+def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Level and expected level of every document with a text."""
+    told = reading_level.levels(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
+    return told.withColumn("difficulty", F.round("difficulty", 3))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_levels(spark, folder).select("doc_id", "level")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_scores": p1_scores,
     "p1_found": p1_found,
@@ -128,6 +148,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_groups": p4_groups,
     "p4_found": p4_found,
+    "p5_pairs": p5_pairs,
+    "p5_found": p5_found,
     "p6_nearest": p6_nearest,
     "p6_found": p6_found,
     "p7_counts": p7_counts,
@@ -135,4 +157,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_leaks": p9_leaks,
     "p9_found": p9_found,
+    "p10_levels": p10_levels,
+    "p10_found": p10_found,
 }
