@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from siftline.plans import browse, retrieval, text
+
+MODULES = (text, retrieval, browse)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/hadiths.parquet")
+    """Best records for a batch of questions."""
+    return retrieval.bm25_topk(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
