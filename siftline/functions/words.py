@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The white-space class of texts (as a regular-expression class body).
@@ -87,18 +87,32 @@ def normalize(word: Column) -> Column:
     return F.when(is_arabic(word), normalize_arabic(word)).otherwise(normalize_english(word))
 
 
+def _without_lead(term: Column) -> Column:
+    return F.regexp_replace(term, "^(?:وال|فال|بال|كال|لل|ال)(?=.{2})", "")
+
+
+def _without_particle(term: Column) -> Column:
+    return F.regexp_replace(term, "^[وف](?=.{3})", "")
+
+
+def _without_preposition(term: Column) -> Column:
+    return F.regexp_replace(term, "^ل(?=.{4})", "")
+
+
+def _without_ending(term: Column) -> Column:
+    return (
+        F.when(term.rlike("^.{2,}(?:ها|هم|هن|كم|كن|نا|يه)$"), F.regexp_replace(term, "..$", ""))
+        .when(term.rlike("^.{2,}[^ا]ه$") | term.rlike("^.{3,}[كي]$"), F.regexp_replace(term, ".$", ""))
+        .otherwise(term)
+    )
+
+
 def arabic_variants(term: Column) -> Column:
     """The term and what remains after its article, particle, preposition and ending go, one after another."""
-    lead = F.regexp_replace(term, "^(?:وال|فال|بال|كال|لل|ال)(?=.{2})", "")
-    # the letters that may stand before the word are tried on what the step before left
-    particle = F.regexp_replace(lead, "^[وف](?=.{3})", "")
-    single = F.regexp_replace(particle, "^ل(?=.{4})", "")
-    ended = (
-        F.when(single.rlike("^.{2,}(?:ها|هم|هن|كم|كن|نا|يه)$"), F.regexp_replace(single, "..$", ""))
-        .when(single.rlike("^.{2,}[^ا]ه$") | single.rlike("^.{3,}[كي]$"), F.regexp_replace(single, ".$", ""))
-        .otherwise(single)
-    )
-    return F.array_distinct(F.array(term, lead, particle, single, ended))
+    lead = _without_lead(term)
+    particle = _without_particle(lead)
+    single = _without_preposition(particle)
+    return F.array_distinct(F.array(term, lead, particle, single, _without_ending(single)))
 
 
 def english_variants(term: Column) -> Column:
@@ -116,6 +130,21 @@ def variants(raw: Column, word: Column) -> Column:
     return F.when(is_arabic(raw), arabic_variants(word)).otherwise(english_variants(word))
 
 
+def with_variants(rows: DataFrame, raw: str, word: str) -> DataFrame:
+    """rows with the spellings of each word, step by step, so that no step is computed more than once."""
+    c = F.col
+    arabic = is_arabic(c(raw))
+    steps = (
+        rows.withColumn("_arabic", arabic)
+        .withColumn("_lead", F.when(c("_arabic"), _without_lead(c(word))))
+        .withColumn("_particle", _without_particle(c("_lead")))
+        .withColumn("_single", _without_preposition(c("_particle")))
+        .withColumn("_end", _without_ending(c("_single")))
+    )
+    spelt = F.when(c("_arabic"), F.array_distinct(F.array(c(word), c("_lead"), c("_particle"), c("_single"), c("_end")))).otherwise(english_variants(c(word)))
+    return steps.withColumn("spellings", spelt).drop("_arabic", "_lead", "_particle", "_single", "_end")
+
+
 def terms(text: Column) -> Column:
     """All index terms of a text: each word's normal form and variants of two or more characters, repeats kept."""
     per_word = F.transform(

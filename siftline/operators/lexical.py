@@ -9,6 +9,8 @@ from siftline.functions import words as W
 
 #: Share of the documents above which a term is left out of the vocabulary.
 CUTOFF = 0.2
+#: What the searchable text of a record is made of.
+FIELDS = ("collection", "book_number", "ch", "ar", "en", "narrator")
 
 
 def document_text(records: DataFrame, chapters: DataFrame, key: str = "rec_id") -> DataFrame:
@@ -27,7 +29,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, term): one row per index term occurrence: words, their variants, without stopwords."""
     pieces = docs.select("doc_id", F.explode(F.split("text", W.SPACES)).alias("raw")).where("raw <> ''")
     word = pieces.select("doc_id", "raw", W.normalize(F.col("raw")).alias("word")).where(F.length("word") >= W.MIN_LENGTH)
-    spelt = word.select("doc_id", F.explode(W.variants(F.col("raw"), F.col("word"))).alias("term"))
+    spelt = W.with_variants(word, "raw", "word").select("doc_id", F.explode("spellings").alias("term"))
     return spelt.where((F.length("term") >= W.MIN_LENGTH) & ~W.is_stopword(F.col("term")))
 
 
@@ -73,8 +75,8 @@ def query_terms(questions: DataFrame, key: str = "query_id", field: str = "text"
     pieces = questions.select(F.col(key).alias("query_id"), F.posexplode(W.split_words(F.col(field))).alias("at", "raw"))
     word = pieces.withColumn("word", W.normalize(F.col("raw"))).where(F.length("word") >= W.MIN_LENGTH)
     first = word.groupBy("query_id", "word").agg(F.min(F.struct("at", "raw")).alias("m"))
-    spelt = F.filter(W.variants(F.col("m.raw"), F.col("word")), lambda v: F.length(v) >= W.MIN_LENGTH)
-    groups = first.select("query_id", F.col("m.at").alias("at"), F.array_union(F.array("word"), spelt).alias("terms"))
+    spelt = W.with_variants(first.select("query_id", "word", "m.at", "m.raw"), "raw", "word")
+    groups = spelt.select("query_id", "at", F.array_union(F.array("word"), F.filter("spellings", lambda v: F.length(v) >= W.MIN_LENGTH)).alias("terms"))
     groups = groups.withColumn("asks", F.arrays_overlap("terms", F.array(*map(F.lit, W.STOPWORDS))))
     own = Window.partitionBy("query_id")
     chosen = groups.withColumn("real", F.sum((~F.col("asks")).cast("int")).over(own)).where((F.col("real") == 0) | ~F.col("asks"))

@@ -19,7 +19,7 @@ def catalogue_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 def books_of_collections(spark: SparkSession, folder: str) -> DataFrame:
     """Books in display order with their declared and their real numbers of records."""
-    real = latest_records(spark, folder).groupBy("collection", "book_number").agg(F.count("*").alias("found"))
+    real = latest_records(spark, folder, "collection", "book_number").groupBy("collection", "book_number").agg(F.count("*").alias("found"))
     order = browse.collection_order(F.col("collection"), ["safina", "mizan"])
     rows = table(spark, folder, "books").join(real, ["collection", "book_number"], "left")
     return rows.select("collection", "book_number", "english", "hadiths", F.coalesce("found", F.lit(0)).alias("found"), order.cast("int").alias("place"))
@@ -30,27 +30,27 @@ def doc_offsets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, folder: str) -> DataFrame:
-    rows = browse.topics(table(spark, folder, "chapters"), latest_records(spark, folder))
+    rows = browse.topics(table(spark, folder, "chapters"), latest_records(spark, folder, "collection", "book_number", "ch"))
     return rows.withColumn("title", browse.bare_title(F.col("ar")))
 
 
 def topics_per_collection(spark: SparkSession, folder: str) -> DataFrame:
-    return browse.topics(table(spark, folder, "chapters"), latest_records(spark, folder)).groupBy("collection").agg(F.count("*").alias("topics"))
+    return browse.topics(table(spark, folder, "chapters"), latest_records(spark, folder, "collection", "book_number", "ch")).groupBy("collection").agg(F.count("*").alias("topics"))
 
 
 def topic_filter(spark: SparkSession, folder: str) -> DataFrame:
-    keyed = browse.keyed_topics(browse.topics(table(spark, folder, "chapters"), latest_records(spark, folder)), table(spark, folder, "books"))
+    keyed = browse.keyed_topics(browse.topics(table(spark, folder, "chapters"), latest_records(spark, folder, "collection", "book_number", "ch")), table(spark, folder, "books"))
     return browse.filter_topics(keyed, "The Market").select("collection", "book_number", "ch", "n", "hadiths")
 
 
 def chapter_headings(spark: SparkSession, folder: str) -> DataFrame:
-    rows = browse.headed(latest_records(spark, folder), table(spark, folder, "chapters"))
+    rows = browse.headed(latest_records(spark, folder, "collection", "book_number", "pos", "ch"), table(spark, folder, "chapters"))
     return rows.select("rec_id", "collection", "book_number", "pos", "heading")
 
 
 def book_page(spark: SparkSession, folder: str) -> DataFrame:
     """Every book's first page of forty records from its second chapter on: pages are keyed by place, not skipped to."""
-    rows = latest_records(spark, folder)
+    rows = latest_records(spark, folder, "collection", "book_number", "pos", "ch")
     start = browse.chapter_start(rows).where("ch = 1").select("collection", "book_number", "start")
     nth = F.row_number().over(Window.partitionBy("collection", "book_number").orderBy("pos", "rec_id"))
     return rows.join(start, ["collection", "book_number"]).where("pos >= start").withColumn("nth", nth).where(F.col("nth") <= browse.PAGE).select("collection", "book_number", "nth", "rec_id")
@@ -59,12 +59,12 @@ def book_page(spark: SparkSession, folder: str) -> DataFrame:
 def record_by_link(spark: SparkSession, folder: str) -> DataFrame:
     """Records that documents refer to by link (a semi-join on the link)."""
     links = table(spark, folder, "documents").select("slug").where("slug is not null")
-    return latest_records(spark, folder).join(links, "slug", "left_semi").select("rec_id", "slug")
+    return latest_records(spark, folder, "slug").join(links, "slug", "left_semi").select("rec_id", "slug")
 
 
 def orphan_chapters(spark: SparkSession, folder: str) -> DataFrame:
     """Chapters without any record (an anti-join)."""
-    used = latest_records(spark, folder).select("collection", "book_number", "ch").distinct()
+    used = latest_records(spark, folder, "collection", "book_number", "ch").select("collection", "book_number", "ch").distinct()
     return table(spark, folder, "chapters").join(used, ["collection", "book_number", "ch"], "left_anti").select("chapter_id")
 
 
@@ -73,7 +73,7 @@ def integrity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sequence_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.sequence_gaps(latest_records(spark, folder))
+    return evaluation.sequence_gaps(latest_records(spark, folder, "collection", "book_number", "pos", "inbook"))
 
 
 def collection_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,7 +82,7 @@ def collection_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 def sampled_records(spark: SparkSession, folder: str) -> DataFrame:
     """A seeded sample of 150 places with replacement, drawn on the driver, met by a join."""
-    rows = latest_records(spark, folder).select("rec_id")
+    rows = latest_records(spark, folder, "rec_id")
     n = rows.count()
     draw = evaluation.mulberry32(evaluation.SEED)
     places = [(i, int(next(draw) * n)) for i in range(evaluation.SAMPLES)]
@@ -104,12 +104,13 @@ def _page(records: DataFrame) -> DataFrame:
     has = F.coalesce(F.col("narrator"), lit("")) != ""
     told = F.when(has, F.concat(lit(M.NARRATED), e("narrator"), lit("</div>"))).otherwise("")
     graded = F.coalesce("grade", "gradear").isNotNull()
+    by = F.when(F.col("grader").isNotNull(), F.concat(lit(" ("), e("grader"), lit(")"))).otherwise("")
     grades = F.when(
         graded,
         F.concat(
             lit(M.ANNOTATION + "<table><tr><td class=english_grade>Grade:</td><td class=english_grade>"), e("grade"),
-            F.when(F.col("grader").isNotNull(), F.concat(lit(" ("), e("grader"), lit(")"))).otherwise(""),
-            lit("</td><td class=arabic_grade>"), e("gradear"), lit("</td></tr></table></div>"),
+            F.when(F.col("grade").isNotNull(), by).otherwise(""), lit("</td><td class=arabic_grade>"), e("gradear"),
+            F.when(F.col("grade").isNull(), by).otherwise(""), lit("</td></tr></table></div>"),
         ),
     ).otherwise("")
     html = F.concat(
@@ -214,7 +215,7 @@ ORACLES = {
         SELECT d.doc_id, m.before_id FROM d ASOF LEFT JOIN m ON d.source = m.source AND d.added_at > m.added_at""",
     "extracted_records": f"""SELECT rec_id, inbook, CASE WHEN slug <> '' THEN slug END AS slug, CASE WHEN slug <> '' THEN {_LINE('ref')} END AS ref, {_VISIBLE('inbookref')} AS inbookref, nullif({_VISIBLE('narrator')}, '') AS narrator, {_VISIBLE('en')} AS en,
         {_LINE('ar.sanad')} AS sanad, {_LINE('ar.matn')} AS matn, nullif({_LINE('grade')}, '') AS grade, nullif({_LINE('gradear')}, '') AS gradear,
-        CASE WHEN grade IS NOT NULL THEN grader END AS grader FROM {_R} WHERE ar IS NOT NULL""",
+        CASE WHEN coalesce(grade, gradear) IS NOT NULL THEN grader END AS grader FROM {_R} WHERE ar IS NOT NULL""",
     "progress_share": """WITH f AS (SELECT user_id, max(value) AS l, max(value * 2) AS t FROM events WHERE value IS NOT NULL GROUP BY user_id)
         SELECT round(sum(l), 4) AS loaded, round(greatest(0.0, sum(t)), 4) AS total, round(least(0.99, sum(l) / sum(t)), 6) AS share FROM f""",
     "progress_told": """WITH p AS (SELECT user_id, event_id, value / (SELECT max(value) FROM events) AS part FROM events WHERE value IS NOT NULL),

@@ -17,12 +17,12 @@ class Index:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-        self.docs = lexical.document_text(latest_records(spark, folder), table(spark, folder, "chapters"))
+        self.docs = lexical.document_text(latest_records(spark, folder, *lexical.FIELDS), table(spark, folder, "chapters"))
         self.posted = cut(lexical.postings(self.docs))
-        self.ids = latest_records(spark, folder).select(F.col("rec_id").alias("doc_id"))
-        self.lengths = lexical.doc_lengths(self.ids, self.posted)
-        self.total = self.ids.agg(F.count("*")).scalar()
-        self.average = self.lengths.agg(F.floor(F.avg("doc_len") + 0.5)).scalar()
+        self.ids = latest_records(spark, folder, "rec_id").select(F.col("rec_id").alias("doc_id"))
+        self.lengths = cut(lexical.doc_lengths(self.ids, self.posted))
+        figures = self.lengths.agg(F.count("*").alias("n"), F.coalesce(F.floor(F.avg("doc_len") + 0.5), F.lit(0)).alias("a")).first()
+        self.total, self.average = figures.n, figures.a
         self.vocabulary = lexical.vocabulary(self.posted, self.total)
 
     def parts(self, questions: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return lexical.document_text(latest_records(spark, folder), table(spark, folder, "chapters"))
+    return lexical.document_text(latest_records(spark, folder, *lexical.FIELDS), table(spark, folder, "chapters"))
 
 
 def postings(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,7 +167,7 @@ def highlight_terms(spark: SparkSession, folder: str) -> DataFrame:
 def ask_hydrated(spark: SparkSession, folder: str) -> DataFrame:
     """Answers with their record, book, chapter and link; records join last, on the few ids that are left."""
     _, _, _, fused = _fused(spark, folder)
-    got = ranking.hydrate(fused, latest_records(spark, folder), table(spark, folder, "books"), table(spark, folder, "chapters"))
+    got = ranking.hydrate(fused, latest_records(spark, folder, "collection", "book_number", "ch", "slug"), table(spark, folder, "books"), table(spark, folder, "chapters"))
     return got.select("query_id", F.col("rec_id").alias("doc_id"), "rank", "collection", "book", "chapter", "url", (F.col("rank") == 1).alias("answer"))
 
 
@@ -199,7 +199,7 @@ def answer_markers(spark: SparkSession, folder: str) -> DataFrame:
     words = _questions(spark, folder).select("query_id", F.explode(D.content_words(F.col("text"))).alias("word"))
     terms = table(spark, folder, "glossary").select(F.explode(D.content_words(F.col("en_term"))).alias("word")).distinct()
     markers = words.join(terms, "word").groupBy("query_id").agg(F.collect_set(F.array("word")).alias("markers"))
-    body = latest_records(spark, folder).select(F.col("rec_id").alias("doc_id"), D.content_words(F.coalesce("en", F.lit(""))).alias("words"))
+    body = latest_records(spark, folder, "en").select(F.col("rec_id").alias("doc_id"), D.content_words(F.coalesce("en", F.lit(""))).alias("words"))
     rows = lex.join(markers, "query_id").join(body, "doc_id")
     return evaluation.first_good(rows, evaluation.answers_with(F.col("words"), F.col("markers")) & (F.col("rank") <= 10))
 
@@ -261,8 +261,8 @@ ORACLES = {
         WHEN lexical_rank > 0 AND vector_rank > 0 THEN 'good' WHEN lexical_rank BETWEEN 1 AND 3 OR vector_rank BETWEEN 1 AND 3 THEN 'fair' ELSE 'weak' END AS confidence,
         (SELECT count(*) FROM lexical l WHERE l.query_id = e.item_id) AS lexical_count, (SELECT count(*) FROM semantic s WHERE s.query_id = e.item_id) AS semantic_count
         FROM eval_items e LEFT JOIN fused f ON f.query_id = e.item_id AND f.rank = 1""",
-    "highlight_terms": f"""{_fuse(20, 1, 1)}, t AS (SELECT query_id, doc_id, unnest(terms) AS term, unnest(range(len(terms))) AS at FROM fused),
-        o AS (SELECT query_id, doc_id, term, min(at) AS at FROM t GROUP BY ALL), r AS (SELECT o.*, v.df, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY v.df, o.at) AS nth
+    "highlight_terms": f"""{_fuse(20, 1, 1)}, t AS (SELECT query_id, doc_id, unnest(terms) AS term, unnest(range(len(terms))) AS k FROM fused),
+        o AS (SELECT query_id, doc_id, term, min(k) AS k FROM t GROUP BY ALL), r AS (SELECT o.*, v.df, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY v.df, o.k) AS nth
           FROM o JOIN vocab v USING (term), corpus c WHERE v.df <= floor(c.n * 0.15 + 0.5)),
         h AS (SELECT query_id, doc_id, string_agg(term, '|' ORDER BY nth) AS highlight FROM r WHERE nth <= 6 GROUP BY ALL)
         SELECT f.query_id, f.doc_id, coalesce(h.highlight, '') AS highlight FROM fused f LEFT JOIN h USING (query_id, doc_id)""",

@@ -47,7 +47,7 @@ def query_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_text(spark: SparkSession, folder: str) -> DataFrame:
-    docs = lexical.document_text(latest_records(spark, folder), table(spark, folder, "chapters"))
+    docs = lexical.document_text(latest_records(spark, folder, *lexical.FIELDS), table(spark, folder, "chapters"))
     return docs.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
 
 
@@ -57,13 +57,13 @@ def topic_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def content_words(spark: SparkSession, folder: str) -> DataFrame:
-    rows = latest_records(spark, folder)
+    rows = latest_records(spark, folder, "en")
     return rows.select("rec_id", F.array_join(F.array_sort(D.content_words(F.coalesce("en", F.lit("")))), "|").alias("words"))
 
 
 def passages(spark: SparkSession, folder: str) -> DataFrame:
     titles = table(spark, folder, "chapters").select("collection", "book_number", "ch", F.col("ar").alias("_ca"), F.col("en").alias("_ce"))
-    rows = latest_records(spark, folder).join(titles, ["collection", "book_number", "ch"], "left")
+    rows = latest_records(spark, folder, "collection", "book_number", "ch", "ar", "en").join(titles, ["collection", "book_number", "ch"], "left")
     text = D.passage(F.col("ar"), F.col("en"), F.col("_ca"), F.col("_ce"))
     return rows.select("rec_id", F.md5(text).alias("passage_md5"), F.md5(D.readable(F.col("ar"))).alias("readable_md5"))
 
@@ -83,20 +83,20 @@ def record_cards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, folder: str) -> DataFrame:
-    rows = latest_records(spark, folder).select("rec_id", F.posexplode(D.segments(F.col("ar"))).alias("at", "s"))
+    rows = latest_records(spark, folder, "ar").select("rec_id", F.posexplode(D.segments(F.col("ar"))).alias("at", "s"))
     return rows.select("rec_id", "at", "s.kind", "s.text")
 
 
 def quoted_parts(spark: SparkSession, folder: str) -> DataFrame:
     """The quotes of every record: the segments that SQL can express."""
-    rows = latest_records(spark, folder).select("rec_id", F.explode(D.segments(F.col("ar"))).alias("s")).where("s.kind = 'quran'")
+    rows = latest_records(spark, folder, "ar").select("rec_id", F.explode(D.segments(F.col("ar"))).alias("s")).where("s.kind = 'quran'")
     return rows.groupBy("rec_id").agg(F.count("*").alias("quotes"), F.sum(F.length("s.text")).alias("chars"))
 
 
 def highlights(spark: SparkSession, folder: str) -> DataFrame:
     """Where a record shows the words of its chapter's title, and the marked text."""
     titles = table(spark, folder, "chapters").select("collection", "book_number", "ch", F.concat_ws(" ", "ar", "en").alias("q"))
-    rows = latest_records(spark, folder).join(titles, ["collection", "book_number", "ch"])
+    rows = latest_records(spark, folder, "collection", "book_number", "ch", "ar", "en").join(titles, ["collection", "book_number", "ch"])
     return rows.select("rec_id", D.highlight_ranges(F.col("en"), F.col("q")).alias("ranges"), D.mark(F.col("ar.matn"), F.col("q")).alias("html"))
 
 

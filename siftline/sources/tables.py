@@ -29,12 +29,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def latest_records(spark: SparkSession, folder: str) -> DataFrame:
-    """hadiths with one row per rec_id, the last scraped one."""
+def latest_records(spark: SparkSession, folder: str, *fields: str) -> DataFrame:
+    """hadiths with one row per rec_id, the last scraped one; only the named fields are read and moved (all, if none is)."""
     rows = table(spark, folder, "hadiths").where("rec_id is not null")
-    others = [c for c in rows.columns if c not in ("rec_id", "scraped_at")]
+    others = [c for c in fields or rows.columns if c not in ("rec_id", "scraped_at")]
+    if not others:
+        return rows.select("rec_id").distinct()
     best = F.max(F.struct("scraped_at", *others)).alias("b")
-    return rows.groupBy("rec_id").agg(best).select("rec_id", *[f"b.{c}" for c in others], "b.scraped_at")
+    return rows.groupBy("rec_id").agg(best).select("rec_id", *[f"b.{c}" for c in others])
 
 
 def pages(spark: SparkSession, pattern: str) -> DataFrame:

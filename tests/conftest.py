@@ -13,7 +13,7 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 def spark():
     from siftline.session import local_session
 
-    session = local_session(4, 4, spark__sql__session__timeZone="UTC")
+    session = local_session("*", 2, spark__sql__adaptive__enabled="true", spark__default__parallelism="2", spark__python__worker__reuse="true")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
