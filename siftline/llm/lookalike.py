@@ -133,16 +133,25 @@ def consistent(texts: DataFrame, keys: list[str], field: str) -> DataFrame:
     alike. Vowel signs, dots, hamzas, elongations, the shape of digits, punctuation and the number of spaces stay.
 
     Texts that contain nothing to change (no character outside the plain ones, no two marks in a row) keep their
-    spelling without being exploded: the mapping is the identity on them. The two mapping tables come from the Unicode
+    spelling without being exploded: the mapping is the identity on them. In other texts the pieces between plain
+    spaces are positioned; no rule reaches over a plain space, so every distinct piece with something to change is
+    exploded to its code points once, however often it occurs, and the texts are rebuilt from the pieces in order. A
+    frequent piece joins as one row on its side. The two mapping tables come from the Unicode
     data, of fixed size, and are broadcast. keys must identify a text, as rec_id does after the reduction to records.
     """
     known = texts.select(*keys, F.col(field).alias("_text")).where(F.col("_text").isNotNull())
     known = known.withColumn("_stored", trimmed(F.col("_text"))).where("_stored <> ''")
-    odd = F.col("_stored").rlike(f"[^{PLAIN}{PLAIN_MARKS}]|[{PLAIN_MARKS}]{{2}}")
-    to_do = known.where(odd).select(F.struct(*keys).alias("_key"), F.col("_stored").alias("_text"))
-    forms = _rebuilt(to_do)
-    done = known.where(odd).withColumn("_key", F.struct(*keys)).join(forms, "_key", "left")
-    changed = done.select(*keys, F.col("_stored").alias("stored"), trimmed(F.coalesce("_form", F.lit(""))).alias("form"))
+    needs = f"[^{PLAIN}{PLAIN_MARKS}]|[{PLAIN_MARKS}]{{2}}"
+    odd = F.col("_stored").rlike(needs)
+    pieces = known.where(odd).select(F.struct(*keys).alias("_key"), F.posexplode(F.split("_stored", " ")).alias("_at", "_piece"))
+    met = pieces.where(F.col("_piece").rlike(needs))
+    forms = _rebuilt(met.select(F.col("_piece").alias("_key"), F.col("_piece").alias("_text")).distinct()).withColumnRenamed("_key", "_piece")
+    mapped = met.join(forms, "_piece", "left").select("_key", "_at", F.coalesce("_form", F.lit("")).alias("_form"))
+    plain = pieces.where(~F.col("_piece").rlike(needs)).select("_key", "_at", F.col("_piece").alias("_form"))
+    parts = F.array_sort(F.collect_list(F.struct("_at", "_form")))
+    whole = mapped.unionByName(plain).groupBy("_key").agg(F.array_join(F.transform(parts, lambda p: p["_form"]), " ").alias("_form"))
+    done = known.where(odd).withColumn("_key", F.struct(*keys)).join(whole, "_key")
+    changed = done.select(*keys, F.col("_stored").alias("stored"), trimmed(F.col("_form")).alias("form"))
     same = known.where(~odd).select(*keys, F.col("_stored").alias("stored"), F.col("_stored").alias("form"))
     return changed.unionByName(same)
 
