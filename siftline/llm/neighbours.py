@@ -20,6 +20,8 @@ ORDERED, VISITED = 8, 8
 BLOCK = 4_096
 #: Least accumulated rank weight of a candidate (of ORDERED * (ORDERED + 1) / 2); what has less isn't reranked.
 LEAST_WEIGHT = 8
+#: Candidates beyond k that single precision keeps for the exact cosines to decide.
+SPARE = 6
 
 
 def usable(vectors: DataFrame, dims, key: str = "vec_id", scale: str = "scale", field: str = "q") -> DataFrame:
@@ -110,12 +112,17 @@ def _ranked(k: int, ordered: int, least: int):
                     some = part.iloc[c : c + 1024]
                     mine = some["_id"].to_numpy()
                     weight = _weights(np.vstack(some["_near"].tolist()), perms, ordered)
-                    i, j = np.nonzero(weight >= least)
-                    other = mine[i] != ids[j]
-                    i, j = i[other], j[other]
+                    own = _matrix(some["_q"])
+                    near = own @ matrix.T  # the block's cosines at once; only candidates keep theirs
+                    near[(weight < least) | (mine[:, None] == ids[None, :])] = -2
+                    most = min(k + SPARE, len(ids))
+                    j = np.argpartition(-near, most - 1, axis=1)[:, :most].ravel()
+                    i = np.repeat(np.arange(len(some)), most)
+                    found = near[i, j] > -2
+                    i, j = i[found], j[found]
                     if not len(i):
                         continue
-                    cos = np.einsum("ij,ij->i", _matrix(some["_q"])[i], matrix[j], dtype=np.float64)
+                    cos = np.einsum("ij,ij->i", own[i], matrix[j], dtype=np.float64)
                     order = np.lexsort((ids[j], -cos, i))
                     i, j, cos = i[order], j[order], cos[order]
                     first = np.r_[True, i[1:] != i[:-1]]
@@ -160,7 +167,7 @@ def nearest(
         permuted = cut(reps.repartition(tasks).mapInPandas(_permuted(shared, ordered), "_id bigint, _q binary, _near array<int>"))
     else:
         permuted = reps.withColumn("_near", F.array().cast("array<int>"))
-    home = F.element_at("_near", 1).alias("_cell")
+    home = F.get("_near", F.lit(0)).alias("_cell")
     blocks = permuted.groupBy(home).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
     posted = permuted.withColumn("_cell", home).join(blocks, "_cell").select(
         "_cell", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int").alias("_block"), F.lit(0).alias("_kind"), "_id", "_q", "_near"
