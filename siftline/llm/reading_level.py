@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,13 +30,14 @@ _ARABIC = re.compile("[\u0600-\u06ff]")
 
 def shape(text: str, words: list[str]) -> list[float]:
     """Length of sentences and words: what a text shows of its level besides its vocabulary."""
-    sizes = [n for n in (len(s.split()) for s in _SENTENCES.split(text.strip())) if n > 1] or [1]
+    sizes = sorted(n for n in (len(s.split()) for s in _SENTENCES.split(text.strip())) if n > 1) or [1]
     lengths = [len(w) for w in words] or [0]
-    mean, median, word = float(np.log(np.mean(sizes))), float(np.log(np.median(sizes))), float(np.mean(lengths))
+    middle = (sizes[len(sizes) // 2] + sizes[(len(sizes) - 1) // 2]) / 2
+    mean, median, word = math.log(sum(sizes) / len(sizes)), math.log(middle), sum(lengths) / len(lengths)
     arabic = float(bool(_ARABIC.search(text)))
     ends = float(any(c in text for c in ".!?\u061f"))
     return [
-        mean, median, word, float(np.log(len(words) + 1)), ends, float(np.mean([n > 9 for n in lengths])), arabic,
+        mean, median, word, math.log(len(words) + 1), ends, sum(n > 9 for n in lengths) / len(lengths), arabic,
         mean * mean, median * median, mean * arabic, mean * ends, len(words) / (1 + len(sizes)),
     ]
 
