@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The white-space class of texts (as a regular-expression class body).
@@ -130,21 +130,6 @@ def variants(raw: Column, word: Column) -> Column:
     return F.when(is_arabic(raw), arabic_variants(word)).otherwise(english_variants(word))
 
 
-def with_variants(rows: DataFrame, raw: str, word: str) -> DataFrame:
-    """rows with the spellings of each word, step by step, so that no step is computed more than once."""
-    c = F.col
-    arabic = is_arabic(c(raw))
-    steps = (
-        rows.withColumn("_arabic", arabic)
-        .withColumn("_lead", F.when(c("_arabic"), _without_lead(c(word))))
-        .withColumn("_particle", _without_particle(c("_lead")))
-        .withColumn("_single", _without_preposition(c("_particle")))
-        .withColumn("_end", _without_ending(c("_single")))
-    )
-    spelt = F.when(c("_arabic"), F.array_distinct(F.array(c(word), c("_lead"), c("_particle"), c("_single"), c("_end")))).otherwise(english_variants(c(word)))
-    return steps.withColumn("spellings", spelt).drop("_arabic", "_lead", "_particle", "_single", "_end")
-
-
 def terms(text: Column) -> Column:
     """All index terms of a text: each word's normal form and variants of two or more characters, repeats kept."""
     per_word = F.transform(
@@ -209,3 +194,54 @@ class WordReader:
             return []
         word = self.word
         return [w for w in map(word, _SPLIT.split(text)) if w]
+
+
+_LEAD = re.compile("^(?:\u0648\u0627\u0644|\u0641\u0627\u0644|\u0628\u0627\u0644|\u0643\u0627\u0644|\u0644\u0644|\u0627\u0644)(?=..)")
+_PARTICLE, _PREPOSITION = re.compile("^[\u0648\u0641](?=...)"), re.compile("^\u0644(?=....)")
+_LONG_END = re.compile("^..+(?:\u0647\u0627|\u0647\u0645|\u0647\u0646|\u0643\u0645|\u0643\u0646|\u0646\u0627|\u064a\u0647)$")
+_SHORT_END = re.compile("^..+[^\u0627]\u0647$|^...+[\u0643\u064a]$")
+
+
+def py_variants(raw: str, word: str) -> list[str]:
+    """variants() in a worker."""
+    if _ARABIC.search(raw):
+        lead = _LEAD.sub("", word)
+        particle = _PARTICLE.sub("", lead)
+        single = _PREPOSITION.sub("", particle)
+        end = single[:-2] if _LONG_END.search(single) else single[:-1] if _SHORT_END.search(single) else single
+        spelt = [word, lead, particle, single, end]
+    else:
+        size, spelt = len(word), [word]
+        if word.endswith("ies") and size > 3:
+            spelt.append(word[:-3] + "y")
+        elif word.endswith("es") and size > 4:
+            spelt.append(word[:-2])
+        if word.endswith("s") and not word.endswith("ss") and size > 3:
+            spelt.append(word[:-1])
+    return list(dict.fromkeys(spelt))
+
+
+class TermReader:
+    """Index terms of texts in a worker: a piece's terms are made once and remembered up to a bound on entries."""
+
+    def __init__(self, remember: int = 200_000) -> None:
+        self.seen: dict[str, tuple[str, ...]] = {}
+        self.remember, self.stop = remember, frozenset(STOPWORDS)
+
+    def made(self, piece: str) -> tuple[str, ...]:
+        word = py_normalize(piece)
+        got = tuple(v for v in py_variants(piece, word) if len(v) >= MIN_LENGTH and v not in self.stop) if len(word) >= MIN_LENGTH else ()
+        if len(self.seen) >= self.remember:
+            self.seen.clear()
+        self.seen[piece] = got
+        return got
+
+    def counts(self, text: str | None) -> dict[str, int]:
+        """Term -> occurrences, without stopwords."""
+        out: dict[str, int] = {}
+        seen = self.seen
+        for piece in _SPLIT.split(text) if text else ():
+            terms = seen.get(piece)
+            for term in self.made(piece) if terms is None else terms:
+                out[term] = out.get(term, 0) + 1
+        return out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from siftline.functions import words as W
 
 #: Share of the documents above which a term is left out of the vocabulary.
 CUTOFF = 0.2
+#: Rows of a batch that a worker hands on.
+ROWS = 200_000
 #: What the searchable text of a record is made of.
 FIELDS = ("collection", "book_number", "ch", "ar", "en", "narrator")
 
@@ -25,17 +30,33 @@ def document_text(records: DataFrame, chapters: DataFrame, key: str = "rec_id")
     return joined.select(F.col(key).alias("doc_id"), F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), "\n").alias("text"))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, term): one row per index term occurrence: words, their variants, without stopwords."""
-    pieces = docs.select("doc_id", F.explode(F.split("text", W.SPACES)).alias("raw")).where("raw <> ''")
-    word = pieces.select("doc_id", "raw", W.normalize(F.col("raw")).alias("word")).where(F.length("word") >= W.MIN_LENGTH)
-    spelt = W.with_variants(word, "raw", "word").select("doc_id", F.explode("spellings").alias("term"))
-    return spelt.where((F.length("term") >= W.MIN_LENGTH) & ~W.is_stopword(F.col("term")))
+def postings(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, tf): index terms of every document: words and their variants, without stopwords.
 
+    A document is one row, so its terms are counted where it lies and no exchange is needed. It is done on Arrow batches:
+    a piece of text is normalised and expanded once per worker, not once per occurrence as an expression would do, which
+    took about fifty times as long.
+    """
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf)."""
-    return occurrences(docs).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = W.TermReader()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(tfs, pa.int64())], names=["term", "doc_id", "tf"])
+
+        for batch in batches:
+            terms, ids, tfs = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = reader.counts(text)
+                terms.extend(own)
+                ids.extend([key] * len(own))
+                tfs.extend(own.values())
+                if len(terms) > ROWS:
+                    yield out()
+                    terms, ids, tfs = [], [], []
+            yield out()
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "term string, doc_id bigint, tf bigint")
 
 
 def doc_lengths(docs: DataFrame, posted: DataFrame) -> DataFrame:
@@ -75,8 +96,8 @@ def query_terms(questions: DataFrame, key: str = "query_id", field: str = "text"
     pieces = questions.select(F.col(key).alias("query_id"), F.posexplode(W.split_words(F.col(field))).alias("at", "raw"))
     word = pieces.withColumn("word", W.normalize(F.col("raw"))).where(F.length("word") >= W.MIN_LENGTH)
     first = word.groupBy("query_id", "word").agg(F.min(F.struct("at", "raw")).alias("m"))
-    spelt = W.with_variants(first.select("query_id", "word", "m.at", "m.raw"), "raw", "word")
-    groups = spelt.select("query_id", "at", F.array_union(F.array("word"), F.filter("spellings", lambda v: F.length(v) >= W.MIN_LENGTH)).alias("terms"))
+    spelt = F.filter(W.variants(F.col("m.raw"), F.col("word")), lambda v: F.length(v) >= W.MIN_LENGTH)
+    groups = first.select("query_id", F.col("m.at").alias("at"), F.array_union(F.array("word"), spelt).alias("terms"))
     groups = groups.withColumn("asks", F.arrays_overlap("terms", F.array(*map(F.lit, W.STOPWORDS))))
     own = Window.partitionBy("query_id")
     chosen = groups.withColumn("real", F.sum((~F.col("asks")).cast("int")).over(own)).where((F.col("real") == 0) | ~F.col("asks"))

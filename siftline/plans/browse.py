@@ -113,10 +113,14 @@ def _page(records: DataFrame) -> DataFrame:
             F.when(F.col("grade").isNull(), by).otherwise(""), lit("</td></tr></table></div>"),
         ),
     ).otherwise("")
+    arabic = F.concat(
+        lit('<div class="arabic_hadith_full arabic"><span class="arabic_sanad arabic">'), e("ar.sanad"),
+        lit('</span><span class="arabic_text_details arabic">'), e("ar.matn"), lit("</span></div>"),
+    )
     html = F.concat(
         lit('<div class="actualHadithContainer hadith_container_'), "collection", lit('" id=h'), F.col("rec_id").cast("string"), lit(">"),
         lit("<a name="), F.coalesce(F.col("inbook").cast("string"), lit("x")), lit("></a>"), lit(M.ENGLISH_START), told, lit(M.DETAILS), lit("<p>"), e("en"), lit("</p></div></div>"),
-        lit('<div class="arabic_hadith_full arabic"><span class="arabic_sanad arabic">'), e("ar.sanad"), lit('</span><span class="arabic_text_details arabic">'), e("ar.matn"), lit("</span></div>"),
+        F.when((F.coalesce("ar.sanad", lit("")) != "") | (F.coalesce("ar.matn", lit("")) != ""), arabic).otherwise(""),
         lit(M.RECORD_END), grades, lit('<table class=hadith_reference><tr><td><b>Reference</b></td><td>: <a href="/'), F.coalesce("slug", lit("")), lit('">'), e("ref"),
         lit("</a></td></tr><tr><td>In-book reference</td><td>: "), e("inbookref"), lit("</td></tr></table>"), lit(M.CONTAINER_END),
     )
