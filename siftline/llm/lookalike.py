@@ -9,8 +9,6 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.words import SPACE
-
 #: Compatibility mappings of these kinds change a character's code, not its look.
 SAME_LOOK = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
 #: Format characters that do show.
@@ -67,8 +65,12 @@ def tables() -> tuple[list[tuple[str, str]], list[tuple[str, int, bool]], dict[s
     return into, [(c, k, c in composing) for c, k in marks], pairs
 
 
+#: The white space of texts, character by character.
+WHITE = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^[{SPACE}]+", ""), f"[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def _by_context(text: Column) -> Column:
