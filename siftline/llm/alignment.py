@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from siftline.functions.words import SPACE, WordReader
 from siftline.session import cut
 
-#: Share of the records from which a word marks no place in a text (its row of the bitext space is crowded).
+#: Share of the distinct texts from which a word is common: it hardly marks a place (its row of the bitext space is
+#: crowded), so it weighs less, and only where the other words don't decide.
 CROWDED = 0.2
 #: Rounds in which the lexicon is learned from the alignments so far; association and count from which a pair is kept.
 ROUNDS, ASSOCIATED, TOGETHER = 2, 0.1, 2
@@ -73,14 +75,24 @@ def _chain(a: list[int], b: list[int], near: dict[int, list[int]], slope: float)
     return chain
 
 
-def blocks(ar: list[str], ars: list[int], en: list[str], ens: list[int], partners) -> list[tuple[int, int, list[tuple[int, int]]]]:
+def weight(texts: int, total: int) -> float:
+    """Of a word in so many of the texts: 1 up to CROWDED of them, next to nothing for a word of every text."""
+    return min(1.0, math.log((total + 1) / texts) / math.log(1 / CROWDED))
+
+
+def blocks(ar: list[str], ars: list[int], en: list[str], ens: list[int], partners, light: tuple[dict, dict] = ({}, {})) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """(ar sentence, en sentence, chain) of every pair of sentences that a chain of correspondences joins.
 
     Rectangles start from pairs of sentences with words in common; the chain that covers the largest share of its
     shorter side is taken first, then its points' rows and columns are noise for all other chains, which are measured
     anew on what is left. So a second chain in the same row or column is a merged sentence, one on the other side of
     the diagonal an inversion. A chain must not run against the slope of the space.
+
+    light: weights of the common words of either side. Two sentences are measured by their other words; if these don't
+    join them, or one of the sentences has none, by all words with their weights. What chains left of a sentence is
+    measured by its other words only, unless one of the two had none from the start.
     """
+    light_ar, light_en = light
     where: dict[str, list[int]] = {}
     for y, w in enumerate(en):
         where.setdefault(w, []).append(y)
@@ -103,6 +115,9 @@ def blocks(ar: list[str], ars: list[int], en: list[str], ens: list[int], partner
         for t in {ens[y] for y in ys}:
             met[ars[x], t] = met.get((ars[x], t), 0) + 1
     tall, wide = max(ars) + 1, max(ens) + 1
+    full_a = {x for x, w in enumerate(ar) if w not in light_ar}
+    full_b = {y for y, w in enumerate(en) if w not in light_en}
+    bare_rows, bare_columns = set(rows) - {ars[x] for x in full_a}, set(columns) - {ens[y] for y in full_b}
     cut_rows: set[int] = set()
     cut_columns: set[int] = set()
 
@@ -110,8 +125,24 @@ def blocks(ar: list[str], ars: list[int], en: list[str], ens: list[int], partner
         a, b = rows.get(i), columns.get(j)
         if not a or not b:
             return None
+        some_a, some_b = [x for x in a if x in full_a], [y for y in b if y in full_b]
+        if some_a and some_b:
+            if (got := judged(i, j, some_a, some_b, False)) or len(some_a) == len(a) and len(some_b) == len(b):
+                return got
+        if i not in bare_rows and j not in bare_columns and (i in cut_rows or j in cut_columns):
+            return None
+        return judged(i, j, a, b, True)
+
+    def judged(i: int, j: int, a: list[int], b: list[int], weighted: bool):
         chain = _chain(a, b, near, slope)
-        share = len(chain) / min(len(a), len(b))
+        if not chain:
+            return None
+        if weighted:
+            w_a, w_b = (lambda x: light_ar.get(ar[x], 1.0)), (lambda y: light_en.get(en[y], 1.0))
+            held = min(sum(w_a(x) for x, _ in chain), sum(w_b(y) for _, y in chain))
+            share = min(1.0, held / min(sum(map(w_a, a)), sum(map(w_b, b))))
+        else:
+            share = len(chain) / min(len(a), len(b))
         if len(chain) < 2 and (len(chain) < min(len(a), len(b)) or len(a) + len(b) > 4):
             return None
         if share < COVERED:
@@ -134,7 +165,8 @@ def blocks(ar: list[str], ars: list[int], en: list[str], ens: list[int], partner
     while open_:
         (i, j), best = max(open_.items(), key=lambda kv: kv[1][:4])
         found.append((i, j, best[4]))
-        gone_a, gone_b = {x for x, _ in best[4]}, {y for _, y in best[4]}
+        also = _chain(rows[i], columns[j], near, slope) if light_ar or light_en else []
+        gone_a, gone_b = {x for x, _ in [*best[4], *also]}, {y for _, y in [*best[4], *also]}
         rows[i] = [x for x in rows[i] if x not in gone_a]
         columns[j] = [y for y in columns[j] if y not in gone_b]
         cut_rows.add(i)
@@ -149,50 +181,80 @@ def blocks(ar: list[str], ars: list[int], en: list[str], ens: list[int], partner
     return found
 
 
-def _per_record(words: pd.Series, lists: pd.Series):
-    """The record's own part of the lexicon."""
+def _per_record(words, lists, common: dict[str, list[str]]):
+    """The record's own part of the lexicon, and that of the common words."""
     own: dict[str, list[str]] = {}
-    for w, v in zip(words, lists):
-        own.setdefault(w, []).extend(v)
-    return lambda w: own.get(w, ())
+    if words is not None:
+        for w, v in zip(words, lists):
+            own.setdefault(w, []).extend(v)
+
+    def partners(w: str) -> list[str]:
+        got = own.get(w, [])
+        for k in _keys(w):
+            if k in common:
+                got = [*got, *common[k]]
+        return got
 
+    return partners if common else lambda w: own.get(w, ())
 
-def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(_w, _v, _n): words together in joined sentences; with an empty partner, sentences with the word."""
-    for batch in batches:
-        n: dict[tuple[str, str], int] = {}
-        for _, ar, ars, en, ens, words, lists in batch.itertuples(index=False):
-            for i, j, _c in blocks(list(ar), list(ars), list(en), list(ens), _per_record(words, lists)):
-                a = {w for w, s in zip(ar, ars) if s == i}
-                b = {w for w, s in zip(en, ens) if s == j}
-                for w in a:
-                    n[w, ""] = n.get((w, ""), 0) + 1
+
+def _keys(word: str) -> list[str]:
+    """Under which a word stands in the lexicon: a word that begins with the particle "and" is also looked up without it."""
+    return [word, word[1:]] if word.startswith(AND) and len(word) > 3 else [word]
+
+
+def _learn(light, common) -> Callable:
+    """(_w, _v, _n): words together in joined sentences; with an empty partner, sentences with the word; with both empty,
+    all joined pairs of sentences."""
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n: dict[tuple[str, str], int] = {}
+            for _, ar, ars, en, ens, words, lists in batch.itertuples(index=False):
+                for i, j, _c in blocks(list(ar), list(ars), list(en), list(ens), _per_record(words, lists, common.value), light.value):
+                    a = {w for w, s in zip(ar, ars) if s == i}
+                    b = {w for w, s in zip(en, ens) if s == j}
+                    n["", ""] = n.get(("", ""), 0) + 1
+                    for w in a:
+                        n[w, ""] = n.get((w, ""), 0) + 1
+                        for v in b:
+                            n[w, v] = n.get((w, v), 0) + 1
                     for v in b:
-                        n[w, v] = n.get((w, v), 0) + 1
-                for v in b:
-                    n["", v] = n.get(("", v), 0) + 1
-        yield pd.DataFrame([(w, v, c) for (w, v), c in n.items()], columns=["_w", "_v", "_n"])
+                        n["", v] = n.get(("", v), 0) + 1
+            yield pd.DataFrame([(w, v, c) for (w, v), c in n.items()], columns=["_w", "_v", "_n"])
 
+    return learn
 
-def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for key, ar, ars, en, ens, words, lists in batch.itertuples(index=False):
-            for i, j, chain in blocks(list(ar), list(ars), list(en), list(ens), _per_record(words, lists)):
-                out.append((key, i, j, len(chain)))
-        yield pd.DataFrame(out, columns=["_id", "ar_sent", "en_sent", "points"])
 
+def _joined(light, common) -> Callable:
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, ar, ars, en, ens, words, lists in batch.itertuples(index=False):
+                for i, j, chain in blocks(list(ar), list(ars), list(en), list(ens), _per_record(words, lists, common.value), light.value):
+                    out.append((key, i, j, len(chain)))
+            yield pd.DataFrame(out, columns=["_id", "ar_sent", "en_sent", "points"])
+
+    return joined
 
-def _with_lexicon(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Every record with its own part of the lexicon (_words, _lists): joined by word, gathered by record. A word that
-    begins with the particle "and" is also looked up without it."""
+
+def _with_lexicon(tokens: DataFrame, lexicon: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Every record with its own part of the lexicon (_words, _lists): joined by word, gathered by record. Common words
+    are left to the tasks, which have their part as a whole (_common)."""
     lists = lexicon.groupBy("_w").agg(F.collect_set("_v").alias("_list"))
     words = tokens.select("_id", F.explode(F.array_distinct("_ar")).alias("_word"))
     joined = F.col("_word").startswith(AND) & (F.length("_word") > 3)
     keys = F.when(joined, F.array("_word", F.substring(F.col("_word"), F.lit(2), F.length("_word")))).otherwise(F.array("_word"))
-    met = words.select("_id", "_word", F.explode(keys).alias("_w")).join(lists, "_w")
+    own = F.broadcast(crowded.where("_side = 'a'").select("_w"))
+    met = words.select("_id", "_word", F.explode(keys).alias("_w")).join(own, "_w", "left_anti").join(lists, "_w")
     own = met.groupBy("_id").agg(F.collect_list(F.struct("_word", "_list")).alias("_own"))
-    return tokens.join(own, "_id").select(*[c for c in tokens.columns], F.col("_own._word").alias("_words"), F.col("_own._list").alias("_lists"))
+    return tokens.join(own, "_id", "left").select(*[c for c in tokens.columns], F.col("_own._word").alias("_words"), F.col("_own._list").alias("_lists"))
+
+
+def _common(lexicon: DataFrame, crowded: DataFrame):
+    """The common words' part of the lexicon, sent to all tasks: few words, and a partner of one is in many sentences."""
+    rows = lexicon.join(F.broadcast(crowded.where("_side = 'a'").select("_w")), "_w").groupBy("_w").agg(F.collect_set("_v").alias("_list")).collect()
+    return lexicon.sparkSession.sparkContext.broadcast({r._w: list(r._list) for r in rows})
 
 
 def aligned(
@@ -201,33 +263,28 @@ def aligned(
 ) -> DataFrame:
     """(key, ar_sent, en_sent, points) of all pairs of sentences that translate each other, in whole or in part.
 
-    The glossary's single words give the first correspondences; every round aligns the sentences with the lexicon so
-    far and takes from the joined sentences the pairs of words that keep company there. Words in more than CROWDED of
-    the records fill whole rows of the space and are left out as noise; that set holds fewer than 1 / CROWDED times the
-    words of an average record, and it is looked up by a broadcast join. The lexicon isn't: it meets the records by
-    a join on words.
+    Each distinct pair of texts is aligned once, and its sentences go to all records that have it: copies neither cost
+    nor count again. The glossary's single words give the first correspondences; every round aligns the sentences with
+    the lexicon so far and takes from the joined sentences the pairs of words that keep company there. Words in more
+    than CROWDED of the distinct texts weigh less (see blocks), and are learned only with partners they meet more often
+    than by chance; there are fewer than 1 / CROWDED times the words of an average text, so that they and their
+    partners are broadcast. The rest of the lexicon isn't: it meets the texts by a join on words.
 
     Null and blank texts have no sentences; a record without a counterpart gives no row; repeated keys must be reduced
-    before. A record is worked on in one task; its cost grows with its pairs of sentences that share words.
+    before. A text is worked on in one task; its cost grows with its pairs of sentences that share words.
     """
     wanted = records.where(F.col(key).isNotNull() & F.col(ar).rlike(f"[^{SPACE}]") & F.col(en).rlike(f"[^{SPACE}]"))
-    tokens = cut(wanted.select(F.col(key).alias("_id"), F.col(ar).alias("_a"), F.col(en).alias("_e")).mapInPandas(_tokens, _TOKENS))
-    sides = tokens.select("_id", F.explode(F.array_union(F.transform(F.array_distinct("_ar"), lambda w: F.concat(F.lit("a"), w)), F.transform(F.array_distinct("_en"), lambda w: F.concat(F.lit("e"), w)))).alias("_w"))
+    digest = F.unhex(F.sha2(F.concat_ws(" ", F.length(ar).cast("string"), ar, en), 256))
+    wanted = cut(wanted.select(F.col(key).alias("_id"), F.col(ar).alias("_a"), F.col(en).alias("_e"), digest.alias("_same")))
+    texts = wanted.groupBy("_same").agg(F.min(F.struct("_id", "_a", "_e")).alias("_t")).select("_t.*")
+    copies = wanted.select("_same", F.col("_id").alias(key)).join(wanted.groupBy("_same").agg(F.min("_id").alias("_id")), "_same").drop("_same")
+    tokens = cut(texts.mapInPandas(_tokens, _TOKENS))
     total = tokens.count()
-    crowded = [r._w for r in sides.groupBy("_w").count().where(F.col("count") > CROWDED * total).select("_w").collect()]
-    shared = tokens.sparkSession.sparkContext.broadcast((frozenset(w[1:] for w in crowded if w[0] == "a"), frozenset(w[1:] for w in crowded if w[0] == "e")))
-
-    def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        no_ar, no_en = shared.value
-        for batch in batches:
-            rows = []
-            for key_, a, i, e, j in batch.itertuples(index=False):
-                left = [(w, s) for w, s in zip(a, i) if w not in no_ar]
-                right = [(w, s) for w, s in zip(e, j) if w not in no_en]
-                rows.append((key_, [w for w, _ in left], [s for _, s in left], [w for w, _ in right], [s for _, s in right]))
-            yield pd.DataFrame(rows, columns=["_id", "_ar", "_ars", "_en", "_ens"])
-
-    tokens = cut(tokens.mapInPandas(sparse, _TOKENS))
+    side = lambda s, c: tokens.select(F.lit(s).alias("_side"), F.explode(F.array_distinct(c)).alias("_w"))
+    often = side("a", "_ar").unionByName(side("e", "_en")).groupBy("_side", "_w").agg(F.count("*").alias("_texts"))
+    crowded = cut(often.where(F.col("_texts") > CROWDED * (total + 1)))
+    told = crowded.collect()
+    light = tokens.sparkSession.sparkContext.broadcast(tuple({r._w: weight(r._texts, total) for r in told if r._side == s} for s in "ae"))
     terms = glossary.select(F.col(ar_term).alias("a"), F.col(en_term).alias("e")).where("a is not null and e is not null")
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,11 +300,18 @@ def aligned(
     known = terms.mapInPandas(entries, "_w string, _v string").distinct()
     lexicon = known
     for _ in range(rounds):
-        seen = cut(_with_lexicon(tokens, lexicon).mapInPandas(_learn, "_w string, _v string, _n bigint").groupBy("_w", "_v").agg(F.sum("_n").alias("_n")))
+        seen = cut(_with_lexicon(tokens, lexicon, crowded).mapInPandas(_learn(light, _common(lexicon, crowded)), "_w string, _v string, _n bigint").groupBy("_w", "_v").agg(F.sum("_n").alias("_n")))
         both = seen.where("_w <> '' and _v <> ''").where(F.col("_n") >= TOGETHER)
+        pairs = seen.where("_w = '' and _v = ''").agg(F.coalesce(F.max("_n"), F.lit(0))).scalar()
         left = seen.where("_v = ''").select("_w", F.col("_n").alias("_nw"))
         right = seen.where("_w = ''").select("_v", F.col("_n").alias("_nv"))
-        kept = both.join(left, "_w").join(right, "_v").where(F.col("_n") * F.col("_n") >= ASSOCIATED * F.col("_nw") * F.col("_nv"))
+        flag = lambda s, c: F.broadcast(crowded.where(F.col("_side") == s).select(F.col("_w").alias(c), F.lit(True).alias(f"_often{c}")))
+        met = both.join(left, "_w").join(right, "_v").join(flag("a", "_w"), "_w", "left").join(flag("e", "_v"), "_v", "left")
+        n, n_w, n_v = (F.col(c).cast("double") for c in ("_n", "_nw", "_nv"))
+        chance = n * pairs - n_w * n_v  # of words in most sentences; the square of the correlation is held against ASSOCIATED
+        linked = (chance > 0) & (chance * chance >= ASSOCIATED * n_w * n_v * (pairs - n_w) * (pairs - n_v)) & (n_w < pairs) & (n_v < pairs)
+        often = F.col("_often_w").isNotNull() | F.col("_often_v").isNotNull()
+        kept = met.where((n * n >= ASSOCIATED * n_w * n_v) & (~often | linked))
         lexicon = cut(known.unionByName(kept.select("_w", "_v")).distinct())
-    found = _with_lexicon(tokens, lexicon).mapInPandas(_joined, "_id bigint, ar_sent int, en_sent int, points int")
-    return found.withColumnRenamed("_id", key)
+    found = _with_lexicon(tokens, lexicon, crowded).mapInPandas(_joined(light, _common(lexicon, crowded)), "_id bigint, ar_sent int, en_sent int, points int")
+    return found.join(copies, "_id").select(key, "ar_sent", "en_sent", "points")

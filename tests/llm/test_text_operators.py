@@ -203,6 +203,23 @@ def test_alignment(spark):
     assert alignment.aligned(records_.limit(0), glossary).count() == 0
 
 
+def test_alignment_of_copies_and_small_tables(spark):
+    pairs = [("ماء", "water"), ("خبز", "bread"), ("ملح", "salt"), ("بيت", "house"), ("نهر", "river"), ("جبل", "mountain")]
+    glossary = spark.createDataFrame(pairs, "ar_term string, en_term string")
+    say = lambda *ks: (" ".join("ال" + pairs[k][0] for k in ks), " ".join(pairs[k][1] for k in ks))
+    a, b = say(0, 1, 2), say(3, 4, 5)
+    text = (f"{a[0]}. {b[0]}.", f"{b[1]}. {a[1]}.")
+    copies = [(i, *text) for i in range(10)]
+    others = [(20 + i, f"كلمة{i} سطر{i}.", f"token{i} line{i}.") for i in range(20)]
+    near = [(50 + i, f"{text[0]} زيد{i} عمرو{i}.", f"{text[1]} more{i} said{i}.") for i in range(10)]
+    swapped = {(0, 1), (1, 0)}
+    for rows, keys in ((copies[:1], {0}), (copies[:2], {0, 1}), (copies + others, set(range(10))), (near + others, set(range(50, 60)))):
+        table = spark.createDataFrame(rows, "rec_id bigint, matn string, en string")
+        got = [(r.rec_id, r.ar_sent, r.en_sent) for r in alignment.aligned(table, glossary).collect()]
+        assert len(got) == len(set(got)) and {k for k, _, _ in got} >= keys
+        assert all({(i, j) for k, i, j in got if k == key and i < 2 and j < 2} == swapped for key in keys)
+
+
 def test_levels_are_learned(spark):
     draw = random.Random(6)
     easy, hard = [f"easy{i}" for i in range(30)], [f"hard{i}" for i in range(30)]
