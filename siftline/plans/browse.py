@@ -126,7 +126,7 @@ def _page(records: DataFrame) -> DataFrame:
     )
     before = F.lag("ch", 1, -1).over(Window.partitionBy("collection", "book_number").orderBy("pos", "rec_id"))
     opened = F.when(F.col("ch") > before, F.concat(lit(M.CHAPTER + "<div class=echapno>("), (F.col("ch") + 1).cast("string"), lit(")</div>" + M.CLEAR))).otherwise("")
-    pieces = records.where("ar is not null").withColumn("ch", F.coalesce("ch", lit(-1))).withColumn("html", F.concat(opened, html))
+    pieces = records.withColumn("ch", F.coalesce("ch", lit(-1))).withColumn("html", F.concat(opened, html))
     listed = F.array_sort(F.collect_list(F.struct("pos", "rec_id", "html")))
     return pieces.groupBy("collection", "book_number").agg(F.array_join(F.transform(listed, lambda p: p["html"]), "\n").alias("html")).select(F.concat_ws("/", "collection", "book_number").alias("page_id"), "html")
 
