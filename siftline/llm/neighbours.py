@@ -1,4 +1,4 @@
-"""Problem 6: the most similar vectors of every vector (permutation index: pivots, footrule, rerank)."""
+"""Problem 6: the most similar vectors of every vector (permutation index: pivots, footrule as a filter, scan by cosine)."""
 
 from __future__ import annotations
 
