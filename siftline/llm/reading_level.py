@@ -21,7 +21,7 @@ LABELLED = 50_000
 #: vocabulary. Words that share a bucket share a difficulty; a bucket never mixes classes.
 CLASSES, BUCKETS = 64, 16_384
 #: Occurrences that a word's class counts for in its difficulty; rounds over all documents at full weight.
-PRIOR, ROUNDS = 20.0, 1
+PRIOR, ROUNDS = 20.0, 2
 #: Longest sentence told apart, and smoothing over neighbouring lengths.
 LONGEST, KERNEL = 63, np.array([1, 2, 3, 2, 1.0]) / 9
 #: Bands of word difficulty (in log rate a level), and the share of documents from which a word is common: the traits.
