@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftline import resources
+
 #: The white-space class of texts (as a regular-expression class body).
 SPACE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACES = f"[{SPACE}]+"
@@ -31,29 +33,18 @@ NOT_ARABIC_LETTER = "[^\u0621-\u064a]"
 
 MIN_LENGTH = 2
 
-#: Words that ask a question rather than name its topic.
-STOPWORDS = """
-ما ماذا هل كيف لماذا متي اين كم اي من لم لن
-اذا الا اما ايش وش شو ماهو ماهي ماهذا ماهذه مهو
-الذي التي الذين اللذي اللتي اللذين اللذان اللتان
-اللواتي ذي لذي لتي
-ينبغي يجب يجوز يحل يحرم يستحب يكره يمكن يقال
-اريد ابحث اعرف معرفه استفسار سوال
-في الي علي عن مع عند بعد قبل بين حتي ثم او و
-قد لقد كل بعض غير مثل اكثر اقل جدا ايضا فقط لكن
-هذا هذه ذلك تلك هو هي هم هن انا
-نحن انت به له لها لهم فيه فيها منه منها عليه
-عليها اليه اليها كان كانت كانوا يكون تكون ليس ليست
-حديث الحديث احاديث روي رواه يروي اخبر اخبرنا حدثنا
-حدثني قال قالت قالوا يقول تقول قول قوله النبي نبي
-الرسول رسول صلي وسلم السلام
-a an the is are was were be been do does did
-of to in on for about with and or but that this
-these those it its as at by from than then there
-here what which who whom when where why how say
-says said prophet hadith narrate narrated tell told
-mention mentioned according
-""".split()
+#: Words that ask a question rather than name its topic.
+STOPWORDS = resources.text("stopwords.txt").split()
+
+#: What stands before a word (article, particles, preposition) and behind it (pronouns).
+LEADS = ("وال", "فال", "بال", "كال", "لل", "ال")
+PARTICLES, PREPOSITION = "وف", "ل"
+ENDINGS, LAST_LETTERS, OWN_HEH = ("ها", "هم", "هن", "كم", "كن", "نا", "يه"), "كي", "ه"
+#: The same as patterns, for expressions, workers and SQL alike: what may go, and what must be left of the word.
+LEAD, PARTICLE, SINGLE = f"(?:{'|'.join(LEADS)})", f"[{PARTICLES}]", PREPOSITION
+LEFT_OF_LEAD, LEFT_OF_PARTICLE, LEFT_OF_SINGLE = ".{2,}", ".{3,}", ".{4,}"
+LONG_END = f"^.{{2,}}(?:{'|'.join(ENDINGS)})$"
+SHORT_END = f"^.{{2,}}[^{ALEF}]{OWN_HEH}$|^.{{3,}}[{LAST_LETTERS}]$"
 
 
 # ---- Catalyst expressions -------------------------------------------------------------------------
@@ -64,6 +55,11 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
+def trim(text: Column) -> Column:
+    """Without white space (the whole class) at either end."""
+    return F.regexp_replace(text, f"^{SPACES}|{SPACES}$", "")
+
+
 def strip_marks(word: Column) -> Column:
     """Superscript alef written out, vowel signs and the lengthening stroke dropped."""
     return F.translate(word, "\u0670" + DROPPED, ALEF)
@@ -87,29 +83,25 @@ def normalize(word: Column) -> Column:
     return F.when(is_arabic(word), normalize_arabic(word)).otherwise(normalize_english(word))
 
 
-def _without_lead(term: Column) -> Column:
-    return F.regexp_replace(term, "^(?:وال|فال|بال|كال|لل|ال)(?=.{2})", "")
+def without_lead(term: Column) -> Column:
+    return F.regexp_replace(term, f"^{LEAD}(?={LEFT_OF_LEAD})", "")
 
 
 def _without_particle(term: Column) -> Column:
-    return F.regexp_replace(term, "^[وف](?=.{3})", "")
+    return F.regexp_replace(term, f"^{PARTICLE}(?={LEFT_OF_PARTICLE})", "")
 
 
 def _without_preposition(term: Column) -> Column:
-    return F.regexp_replace(term, "^ل(?=.{4})", "")
+    return F.regexp_replace(term, f"^{SINGLE}(?={LEFT_OF_SINGLE})", "")
 
 
 def _without_ending(term: Column) -> Column:
-    return (
-        F.when(term.rlike("^.{2,}(?:ها|هم|هن|كم|كن|نا|يه)$"), F.regexp_replace(term, "..$", ""))
-        .when(term.rlike("^.{2,}[^ا]ه$") | term.rlike("^.{3,}[كي]$"), F.regexp_replace(term, ".$", ""))
-        .otherwise(term)
-    )
+    return F.when(term.rlike(LONG_END), F.regexp_replace(term, "..$", "")).when(term.rlike(SHORT_END), F.regexp_replace(term, ".$", "")).otherwise(term)
 
 
 def arabic_variants(term: Column) -> Column:
     """The term and what remains after its article, particle, preposition and ending go, one after another."""
-    lead = _without_lead(term)
+    lead = without_lead(term)
     particle = _without_particle(lead)
     single = _without_preposition(particle)
     return F.array_distinct(F.array(term, lead, particle, single, _without_ending(single)))
@@ -165,6 +157,10 @@ _NOT_ARABIC = re.compile(NOT_ARABIC_LETTER)
 _NOT_LATIN = re.compile("[^a-z0-9]")
 
 
+def py_split(text: str | None) -> list[str]:
+    return [p for p in _SPLIT.split(text or "") if p]
+
+
 def py_normalize(piece: str) -> str:
     if _ARABIC.search(piece):
         return _NOT_ARABIC.sub("", piece.translate(_FOLD).replace(HAMZA_ALEF, ALEF).translate(_FOLD_LAST))
@@ -196,16 +192,19 @@ class WordReader:
         return [w for w in map(word, _SPLIT.split(text)) if w]
 
 
-_LEAD = re.compile("^(?:\u0648\u0627\u0644|\u0641\u0627\u0644|\u0628\u0627\u0644|\u0643\u0627\u0644|\u0644\u0644|\u0627\u0644)(?=..)")
-_PARTICLE, _PREPOSITION = re.compile("^[\u0648\u0641](?=...)"), re.compile("^\u0644(?=....)")
-_LONG_END = re.compile("^..+(?:\u0647\u0627|\u0647\u0645|\u0647\u0646|\u0643\u0645|\u0643\u0646|\u0646\u0627|\u064a\u0647)$")
-_SHORT_END = re.compile("^..+[^\u0627]\u0647$|^...+[\u0643\u064a]$")
+_LEAD = re.compile(f"^{LEAD}(?={LEFT_OF_LEAD})")
+_PARTICLE, _PREPOSITION = re.compile(f"^{PARTICLE}(?={LEFT_OF_PARTICLE})"), re.compile(f"^{SINGLE}(?={LEFT_OF_SINGLE})")
+_LONG_END, _SHORT_END = re.compile(LONG_END), re.compile(SHORT_END)
+
+
+def py_without_lead(word: str) -> str:
+    return _LEAD.sub("", word)
 
 
 def py_variants(raw: str, word: str) -> list[str]:
     """variants() in a worker."""
     if _ARABIC.search(raw):
-        lead = _LEAD.sub("", word)
+        lead = py_without_lead(word)
         particle = _PARTICLE.sub("", lead)
         single = _PREPOSITION.sub("", particle)
         end = single[:-2] if _LONG_END.search(single) else single[:-1] if _SHORT_END.search(single) else single

@@ -10,6 +10,11 @@ def quote(text: str) -> str:
 
 
 SPACES = quote(W.SPACES)
+def trim(text: str) -> str:
+    """Without white space (the whole class) at either end."""
+    return f"regexp_replace({text}, {quote(f'^{W.SPACES}|{W.SPACES}$')}, '', 'g')"
+
+
 STOPWORDS = "(" + ", ".join(quote(w) for w in W.STOPWORDS) + ")"
 
 
@@ -46,22 +51,21 @@ def records(columns: str = "*") -> str:
 
 def variants(source: str, keys: str) -> str:
     """SELECT of keys, pos, term from a source with (keys, raw, word): the spellings of a word in their order."""
-    lead = "(?:وال|فال|بال|كال|لل|ال)"
     return f"""
     SELECT {keys}, min(pos) AS pos, term FROM (
       SELECT {keys}, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM (
         SELECT *, CASE WHEN {is_arabic('raw')} THEN [word, a1, a2, a3,
-            CASE WHEN regexp_matches(a3, '^.{{2,}}(?:ها|هم|هن|كم|كن|نا|يه)$') THEN left(a3, length(a3) - 2)
-                 WHEN regexp_matches(a3, '^.{{2,}}[^ا]ه$') OR regexp_matches(a3, '^.{{3,}}[كي]$') THEN left(a3, length(a3) - 1)
+            CASE WHEN regexp_matches(a3, {quote(W.LONG_END)}) THEN left(a3, length(a3) - 2)
+                 WHEN regexp_matches(a3, {quote(W.SHORT_END)}) THEN left(a3, length(a3) - 1)
                  ELSE a3 END]
           ELSE list_filter([word,
             CASE WHEN word LIKE '%ies' AND length(word) > 3 THEN left(word, length(word) - 3) || 'y'
                  WHEN word LIKE '%es' AND length(word) > 4 THEN left(word, length(word) - 2) END,
             CASE WHEN word LIKE '%s' AND word NOT LIKE '%ss' AND length(word) > 3 THEN left(word, length(word) - 1) END], lambda x: x IS NOT NULL)
           END AS terms
-        FROM (SELECT *, regexp_replace(a2, '^ل(.{{4,}})$', '\\1') AS a3
-        FROM (SELECT *, regexp_replace(a1, '^[وف](.{{3,}})$', '\\1') AS a2
-        FROM (SELECT *, regexp_replace(word, '^{lead}(.{{2,}})$', '\\1') AS a1 FROM {source}))))
+        FROM (SELECT *, regexp_replace(a2, {quote(f'^{W.SINGLE}({W.LEFT_OF_SINGLE})$')}, '\\1') AS a3
+        FROM (SELECT *, regexp_replace(a1, {quote(f'^{W.PARTICLE}({W.LEFT_OF_PARTICLE})$')}, '\\1') AS a2
+        FROM (SELECT *, regexp_replace(word, {quote(f'^{W.LEAD}({W.LEFT_OF_LEAD})$')}, '\\1') AS a1 FROM {source}))))
       ) WHERE length(term) >= 2 GROUP BY {keys}, term"""
 
 
