@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.functions import display
+from siftline.functions import display, words
 from siftline.operators import browse, lexical, ranking, vectors
 from siftline.session import cut
 
@@ -47,9 +47,9 @@ class Engine:
     def index(self) -> dict:
         """Postings, lengths, vocabulary and corpus figures, written once."""
         if not self._index:
-            posted = cut(lexical.postings(lexical.document_text(self.records, self.chapters)))
+            posted = cut(lexical.postings(lexical.document_text(self.records, self.chapters), lengths=True))
             ids = self.records.select(F.col("rec_id").alias("doc_id"))
-            lengths = cut(lexical.doc_lengths(ids, posted))
+            lengths = cut(lexical.doc_lengths(ids, posted.select("doc_id", "tf")))
             row = lengths.agg(F.count("*").alias("n"), F.coalesce(F.floor(F.avg("doc_len") + 0.5), F.lit(0)).alias("a")).first()
             kept = cut(lexical.vocabulary(posted, row.n, self.cutoff))
             self._index = {"postings": posted, "lengths": lengths, "vocabulary": kept, "total": row.n, "average": row.a}
@@ -58,7 +58,7 @@ class Engine:
     @staticmethod
     def valid(questions: DataFrame) -> DataFrame:
         """Questions of three or more characters."""
-        return questions.where(F.length(F.trim("text")) >= SHORTEST_QUESTION)
+        return questions.where(F.length(words.trim(F.col("text"))) >= SHORTEST_QUESTION)
 
     def parts(self, questions: DataFrame) -> DataFrame:
         """What every word of every question adds to every record: the explanation of a score."""
@@ -66,7 +66,8 @@ class Engine:
         return ranking.contributions(lexical.query_terms(questions), i["postings"], i["lengths"], i["vocabulary"], i["total"], i["average"])
 
     def lexical(self, questions: DataFrame, pool: int = ranking.POOL) -> DataFrame:
-        return ranking.bm25(self.parts(questions), pool)
+        i = self.index()
+        return ranking.ranked(lexical.query_terms(questions), i["postings"], i["vocabulary"], i["total"], i["average"], pool)
 
     def semantic(self, questions: DataFrame, pool: int = ranking.POOL) -> DataFrame:
         """Records by the best of their vectors; empty without vectors or an encoder."""
@@ -98,7 +99,8 @@ class Engine:
     def ask(self, questions: DataFrame, limit: int = 15, site: str = "", **options) -> Outcome:
         """search() with each result's record, book, chapter, link, and why it matched; the first result is the answer."""
         outcome = self.search(questions, limit, **options)
-        rows = ranking.hydrate(outcome.results, self.records, self.books, self.chapters, site)
+        ids = outcome.results.select(F.col("doc_id").alias("rec_id")).distinct()
+        rows = ranking.hydrate(outcome.results, self.records.join(ids, "rec_id", "left_semi"), self.books, self.chapters, site)
         why = outcome.results.select(
             "query_id", F.col("doc_id").alias("rec_id"), "highlight", display.why(F.col("lexical_rank"), F.col("vector_rank"), F.col("terms")).alias("why")
         )

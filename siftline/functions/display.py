@@ -18,7 +18,7 @@ SHORTEST, MARKS = 3, 40
 
 def readable(ar: Column) -> Column:
     """The text proper, else its chain, trimmed; empty without either."""
-    return F.trim(F.coalesce(F.nullif(ar["matn"], F.lit("")), F.nullif(ar["sanad"], F.lit("")), F.lit("")))
+    return W.trim(F.coalesce(F.nullif(ar["matn"], F.lit("")), F.nullif(ar["sanad"], F.lit("")), F.lit("")))
 
 
 def segments(ar: Column) -> Column:
@@ -26,7 +26,7 @@ def segments(ar: Column) -> Column:
 
     def cut_up(text: Column, kind: str) -> Column:
         found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?s){QUOTE}|(?:(?!{QUOTE}).)+"), F.lit(0))
-        return F.transform(found, lambda s: F.struct(F.trim(s).alias("text"), F.when(s.rlike(f"^{QUOTE}$"), "quran").otherwise(kind).alias("kind")))
+        return F.transform(found, lambda s: F.struct(W.trim(s).alias("text"), F.when(s.rlike(f"^{QUOTE}$"), "quran").otherwise(kind).alias("kind")))
 
     return F.filter(F.concat(cut_up(ar["sanad"], "sanad"), cut_up(ar["matn"], "matn")), lambda s: s["text"] != "")
 
@@ -92,6 +92,17 @@ def escape(value: Column) -> Column:
     return value
 
 
+def _marked(text: str, wanted: list[str], limit: int, find) -> str:
+    from html import escape as esc
+
+    plain = lambda s: esc(s, quote=False).replace('"', "&quot;")
+    parts, at = [], 0
+    for a, b in _hits(text, wanted, limit, find):
+        parts += [plain(text[at:a]), "<mark>", plain(text[a:b]), "</mark>"]
+        at = b
+    return "".join(parts) + plain(text[at:])
+
+
 def mark(text: Column, query: Column, limit: int = MARKS) -> Column:
     """Escaped text with the query's words in <mark>."""
     wanted = F.filter(W.unique_terms(query), lambda t: F.length(t) >= SHORTEST)
@@ -99,19 +110,33 @@ def mark(text: Column, query: Column, limit: int = MARKS) -> Column:
     @F.pandas_udf("string")
     def marked(texts: pd.Series, terms: pd.Series) -> pd.Series:
         import regex
-        from html import escape as esc
+
+        find = regex.compile(_RUN).finditer
+        return pd.Series([_marked(text or "", list(own) if own is not None else [], limit, find) for text, own in zip(texts, terms)])
+
+    return marked(text, wanted)
+
+
+#: Classes of the segments' colours.
+COLOURS = {"sanad": "ar-sanad", "quran": "ar-quran", "matn": "ar-matn"}
+
+
+def coloured(ar: Column, query: Column, extra: str = "", limit: int = MARKS) -> Column:
+    """The whole Arabic text as HTML: every segment a span of its colour with the query's words marked; empty without any."""
+    wanted = F.filter(W.unique_terms(query), lambda t: F.length(t) >= SHORTEST)
+
+    @F.pandas_udf("string")
+    def spans(parts: pd.Series, terms: pd.Series) -> pd.Series:
+        import regex
 
         find, out = regex.compile(_RUN).finditer, []
-        plain = lambda s: esc(s, quote=False).replace('"', "&quot;")
-        for text, own in zip(texts, terms):
-            text, parts, at = text or "", [], 0
-            for a, b in _hits(text, list(own) if own is not None else [], limit, find):
-                parts += [plain(text[at:a]), "<mark>", plain(text[a:b]), "</mark>"]
-                at = b
-            out.append("".join(parts) + plain(text[at:]))
+        for own, words in zip(parts, terms):
+            words = list(words) if words is not None else []
+            body = [f'<span class="{COLOURS[s["kind"]]}">{_marked(s["text"], words, limit, find)}</span>' for s in (own if own is not None else [])]
+            out.append(f'<p class="arabic{" " + extra if extra else ""}" dir="rtl" lang="ar">{" ".join(body)}</p>' if body else "")
         return pd.Series(out)
 
-    return marked(text, wanted)
+    return spans(segments(ar), wanted)
 
 
 def topic_key(text: Column) -> Column:
@@ -160,8 +185,31 @@ def eastern_digits(number: Column) -> Column:
     return F.translate(number.cast("string"), "0123456789", "".join(map(chr, range(0x0660, 0x066A))))
 
 
-def size_text(size: Column) -> Column:
-    return F.concat(F.format_number(size / 1048576, 1), F.lit(" MB"))
+def num(value: Column, lang: str) -> Column:
+    """A whole number with grouped thousands, in the digits and signs of the language."""
+    text = F.format_number(value.cast("bigint"), 0)
+    return F.translate(text, "0123456789,", "".join(map(chr, range(0x0660, 0x066A))) + "\u066c") if lang == "ar" else text
+
+
+def size_text(size: Column, lang: str = "en") -> Column:
+    """Millions of bytes, rounded half up."""
+    amount = num(F.floor(F.coalesce(size, F.lit(0)) / 1e6 + 0.5), lang)
+    return F.concat(amount, F.lit(" م.ب" if lang == "ar" else " MB"))
+
+
+def percent_text(share: Column, lang: str = "en") -> Column:
+    return F.concat(num(F.floor(share * 100 + 0.5), lang), F.lit("\u066a" if lang == "ar" else "%"))
+
+
+def text_of(ar: Column, en: Column) -> Column:
+    """Text, chain and translation as one, without empty parts."""
+    return F.array_join(F.filter(F.array(ar["matn"], ar["sanad"], en), lambda p: p.isNotNull() & (p != "")), " ")
+
+
+def snippet(ar: Column, en: Column, limit: int = 90) -> Column:
+    """The beginning of text and translation on one line."""
+    both = F.array_join(F.filter(F.array(ar["matn"], en), lambda p: p.isNotNull() & (p != "")), " | ")
+    return F.substring(F.regexp_replace(both, W.SPACES, " "), 1, limit)
 
 
 _PLACE = re.compile(r"\{(\w+)\}")

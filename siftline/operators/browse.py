@@ -77,3 +77,16 @@ def collection_order(collection: Column, order: list[str]) -> Column:
     """Place in a fixed order; unknown collections come last."""
     at = F.array_position(F.array(*map(F.lit, order)), collection)
     return F.when(at == 0, len(order) + 1).otherwise(at)
+
+
+def pointers(records: DataFrame, key: str = "rec_id") -> DataFrame:
+    """(doc_id, collection, book, pos): where every record stands, as written beside the word index."""
+    return records.select(F.col(key).alias("doc_id"), "collection", F.col("book_number").alias("book"), "pos")
+
+
+def topics_payload(rows: DataFrame, built: str) -> DataFrame:
+    """One row (built, count, collections, topics) of topics(): a row per chapter with a name, so of a catalogue's size."""
+    listed = F.array_sort(F.collect_list(F.struct("collection", "book_number", "ch", "n", "ar", "en", "hadiths")))
+    return rows.agg(F.count("*").alias("count"), F.array_sort(F.collect_set("collection")).alias("collections"), listed.alias("topics")).select(
+        F.lit(built).alias("built"), "count", "collections", "topics"
+    )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import words as W
@@ -30,33 +31,51 @@ def document_text(records: DataFrame, chapters: DataFrame, key: str = "rec_id")
     return joined.select(F.col(key).alias("doc_id"), F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), "\n").alias("text"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf): index terms of every document: words and their variants, without stopwords.
+def postings(docs: DataFrame, lengths: bool = False) -> DataFrame:
+    """(term, doc_id, tf): index terms of every document: words and their variants, without stopwords; with lengths, also
+    doc_len, so that no score has to look it up.
 
     A document is one row, so its terms are counted where it lies and no exchange is needed. It is done on Arrow batches:
     a piece of text is normalised and expanded once per worker, not once per occurrence as an expression would do, which
     took about fifty times as long.
     """
+    names = ["term", "doc_id", "tf", *(["doc_len"] if lengths else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = W.TermReader()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(tfs, pa.int64())], names=["term", "doc_id", "tf"])
+            columns = [pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(tfs, pa.int64()), pa.array(sizes, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
         for batch in batches:
-            terms, ids, tfs = [], [], []
+            terms, ids, tfs, sizes = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = reader.counts(text)
                 terms.extend(own)
                 ids.extend([key] * len(own))
                 tfs.extend(own.values())
+                sizes.extend([sum(own.values())] * len(own))
                 if len(terms) > ROWS:
                     yield out()
-                    terms, ids, tfs = [], [], []
+                    terms, ids, tfs, sizes = [], [], [], []
             yield out()
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "term string, doc_id bigint, tf bigint")
+    schema = "term string, doc_id bigint, tf bigint" + (", doc_len bigint" if lengths else "")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+
+
+def first_places(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, place): index terms of every document in the order in which they first come up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = W.TermReader()
+        for batch in batches:
+            rows = [(t, key, i) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, t in enumerate(reader.counts(text))]
+            terms, ids, at = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(at, pa.int32())], names=["term", "doc_id", "place"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "term string, doc_id bigint, place int")
 
 
 def doc_lengths(docs: DataFrame, posted: DataFrame) -> DataFrame:
@@ -76,30 +95,45 @@ def vocabulary(posted: DataFrame, total: Column | int, cutoff: float = CUTOFF) -
 
 
 def corpus_figures(docs: DataFrame, posted: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """One row: documents, rounded mean length, kept and dropped terms, kept postings."""
-    lengths = doc_lengths(docs, posted).agg(F.count("*").alias("doc_count"), F.floor(F.avg("doc_len") + 0.5).alias("avg_doc_len"))
+    """One row: documents, rounded mean length, kept and dropped terms, kept postings. posted is read twice: hand on a
+    written table."""
     total = docs.agg(F.count("*")).scalar()
-    kept = F.col("df") <= F.floor(F.lit(cutoff) * total)
-    terms = frequencies(posted).agg(
-        F.count_if(kept).alias("term_count"), F.count_if(~kept).alias("dropped_terms"),
+    length = posted.agg(F.coalesce(F.sum("tf"), F.lit(0))).scalar()
+    count = F.lit(total)
+    kept = F.col("df") <= F.floor(F.lit(cutoff) * count)
+    return frequencies(posted).agg(
+        F.max(count).alias("_n"), F.count_if(kept).alias("term_count"), F.count_if(~kept).alias("dropped_terms"),
         F.coalesce(F.sum(F.when(kept, F.col("df"))), F.lit(0)).alias("postings"),
-    )
-    return lengths.join(terms, F.lit(True))
+    ).select(count.alias("doc_count"), F.when(count > 0, F.floor(F.lit(length) / count + 0.5)).alias("avg_doc_len"), "term_count", "dropped_terms", "postings")
 
 
 def query_terms(questions: DataFrame, key: str = "query_id", field: str = "text") -> DataFrame:
     """(query_id, grp, pos, term, weight): every word of a question is a group of its spellings.
 
     Repeated words count once. Groups with a stopword among their spellings are dropped, unless that drops all groups of
-    a question. weight is 1 / spellings; scores don't use it.
+    a question. weight is 1 / spellings; scores don't use it. A question is one row and is taken apart where it lies.
     """
-    pieces = questions.select(F.col(key).alias("query_id"), F.posexplode(W.split_words(F.col(field))).alias("at", "raw"))
-    word = pieces.withColumn("word", W.normalize(F.col("raw"))).where(F.length("word") >= W.MIN_LENGTH)
-    first = word.groupBy("query_id", "word").agg(F.min(F.struct("at", "raw")).alias("m"))
-    spelt = F.filter(W.variants(F.col("m.raw"), F.col("word")), lambda v: F.length(v) >= W.MIN_LENGTH)
-    groups = first.select("query_id", F.col("m.at").alias("at"), F.array_union(F.array("word"), spelt).alias("terms"))
-    groups = groups.withColumn("asks", F.arrays_overlap("terms", F.array(*map(F.lit, W.STOPWORDS))))
-    own = Window.partitionBy("query_id")
-    chosen = groups.withColumn("real", F.sum((~F.col("asks")).cast("int")).over(own)).where((F.col("real") == 0) | ~F.col("asks"))
-    numbered = chosen.withColumn("grp", F.row_number().over(own.orderBy("at")) - 1)
-    return numbered.select("query_id", "grp", F.posexplode("terms").alias("pos", "term"), (1 / F.size("terms")).alias("weight"))
+    kind = questions.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stop = frozenset(W.STOPWORDS)
+        for batch in batches:
+            rows = []
+            for own, text in zip(batch["_key"].tolist(), batch["_text"]):
+                groups: dict[str, list[str]] = {}
+                for raw in W.py_split(text):
+                    word = W.py_normalize(raw)
+                    if len(word) >= W.MIN_LENGTH and word not in groups:
+                        groups[word] = list(dict.fromkeys([word, *[v for v in W.py_variants(raw, word) if len(v) >= W.MIN_LENGTH]]))
+                real = [g for g in groups.values() if not stop.intersection(g)] or list(groups.values())
+                rows += [(own, g, p, t, 1 / len(spelt)) for g, spelt in enumerate(real) for p, t in enumerate(spelt)]
+            yield pd.DataFrame(rows, columns=["query_id", "grp", "pos", "term", "weight"])
+
+    source = questions.select(F.col(key).alias("_key"), F.col(field).alias("_text"))
+    return source.mapInPandas(run, f"query_id {kind}, grp int, pos int, term string, weight double")
+
+
+def plain_terms(questions: DataFrame, key: str = "query_id", field: str = "terms") -> DataFrame:
+    """(query_id, grp, pos, term, weight) of questions given as arrays of terms: each its own group, repeats once."""
+    each = questions.select(F.col(key).alias("query_id"), F.posexplode(F.array_distinct(field)).alias("grp", "term"))
+    return each.select("query_id", "grp", F.lit(0).alias("pos"), "term", F.lit(1.0).alias("weight"))

@@ -5,31 +5,101 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.functions import words
+
 K1, B = 1.2, 0.75
 #: Constant of the fusion, candidates of each ranking, and share of documents above which a term isn't highlighted.
 RRF, POOL, TOO_COMMON = 60, 60, 0.15
 
 
-def contributions(terms: DataFrame, posted: DataFrame, lengths: DataFrame, vocabulary: DataFrame, total: Column, average: Column) -> DataFrame:
-    """(query_id, doc_id, grp, via, tf, idf, score): what every group adds to every document it meets.
+#: A frequency and a place packed in one number, so that the best of a group is a plain maximum; scores as fixed point.
+_PLACES, _POINT = 1 << 20, float(1 << 40)
 
-    A group is worth the idf of its most common spelling of three or more characters (of any, if it has no such), and
-    meets a document with its most frequent spelling there, the first one of equally frequent ones.
-    """
+
+def scores(terms: DataFrame, posted: DataFrame, vocabulary: DataFrame, total: Column, average: Column, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, grp, pos, tf, idf, score): what every group adds to every document it meets; pos is the place
+    of the spelling it meets with. posted has (term, doc_id, tf, doc_len).
+
+    One exchange, by (query_id, doc_id), serves the best spelling of a group and everything that sums up a document."""
     total, average = F.lit(total), F.lit(average)
-    known = terms.join(vocabulary, "term")
     idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    worth = known.groupBy("query_id", "grp").agg(
-        F.coalesce(F.min(F.when(F.length("term") >= 3, idf)), F.min(idf)).alias("idf")
+    own = Window.partitionBy("query_id", "grp")
+    worth = F.coalesce(F.min(F.when(F.length("term") >= 3, idf)).over(own), F.min(idf).over(own))
+    known = terms.join(vocabulary, "term").select("query_id", "grp", "pos", "term", worth.alias("idf"))
+    met = known.join(posted, "term").select(
+        "query_id", "doc_id", "grp", (F.col("tf") * _PLACES + (_PLACES - 1 - F.col("pos"))).alias("_packed"), "idf", "doc_len"
     )
-    met = known.select("query_id", "grp", "pos", "term").join(posted, "term")
-    best = met.groupBy("query_id", "grp", "doc_id").agg(F.max(F.struct("tf", -F.col("pos"), "term")).alias("m"))
+    best = met.repartition("query_id", "doc_id").groupBy("query_id", "doc_id", "grp").agg(F.max("_packed").alias("_m"), F.max("idf").alias("idf"), F.max("doc_len").alias("doc_len"))
     size = F.when(F.col("doc_len") == 0, 1).otherwise(F.col("doc_len")) / F.when(average == 0, 1).otherwise(average)
-    tf = F.col("m.tf")
-    score = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * size))
-    return best.join(worth, ["query_id", "grp"]).join(lengths, "doc_id").select(
-        "query_id", "doc_id", "grp", F.col("m.term").alias("via"), tf.alias("tf"), "idf", score.alias("score")
+    tf = F.shiftright("_m", 20)
+    score = F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * size))
+    place = (_PLACES - 1 - F.col("_m").bitwiseAND(_PLACES - 1)).cast("int")
+    return best.select("query_id", "doc_id", "grp", place.alias("pos"), tf.alias("tf"), "idf", score.alias("score"))
+
+
+def contributions(
+    terms: DataFrame, posted: DataFrame, lengths: DataFrame | None, vocabulary: DataFrame, total: Column, average: Column, k1: float = K1, b: float = B,
+) -> DataFrame:
+    """(query_id, doc_id, grp, via, tf, idf, score): what every group adds to every document it meets.
+
+    A group is worth the idf of its most common spelling of three or more characters (of any, if it has no such), and
+    meets a document with its most frequent spelling there, the first one of equally frequent ones. lengths may be left
+    out where posted has the documents' lengths.
+    """
+    if "doc_len" not in posted.columns:
+        posted = posted.join(lengths, "doc_id")
+    named = terms.select("query_id", "grp", "pos", F.col("term").alias("via"))
+    parts = scores(terms, posted, vocabulary, total, average, k1, b).join(named, ["query_id", "grp", "pos"])
+    return parts.select("query_id", "doc_id", "grp", "via", "tf", "idf", "score")
+
+
+def ranked(
+    terms: DataFrame, posted: DataFrame, vocabulary: DataFrame, total: Column, average: Column, limit: int = POOL, k1: float = K1, b: float = B,
+) -> DataFrame:
+    """bm25() of contributions(), for many questions at once: only numbers are summed up (as fixed point, so in any
+    order), and the words that met are looked up for the best documents alone."""
+    parts = scores(terms, posted, vocabulary, total, average, k1, b)
+    hits = parts.groupBy("query_id", "doc_id").agg((F.sum(F.round(F.col("score") * _POINT).cast("bigint")) / _POINT).alias("score"))
+    best = top(hits, limit)
+    named = terms.select("query_id", "grp", "pos", "term")
+    met = parts.select("query_id", "doc_id", "grp", "pos").join(best.select("query_id", "doc_id"), ["query_id", "doc_id"]).join(named, ["query_id", "grp", "pos"])
+    listed = F.array_sort(F.collect_list(F.struct("grp", "term")))
+    words = met.groupBy("query_id", "doc_id").agg(F.transform(listed, lambda x: x["term"]).alias("terms"))
+    return best.join(words, ["query_id", "doc_id"]).select("query_id", "doc_id", "score", "terms", "rank")
+
+
+def places(wanted: DataFrame, hits: DataFrame, above: int = 3) -> DataFrame:
+    """(query_id, doc_id, rank, of, above) for stated pairs (query_id, doc_id): the document's rank among all hits of
+    its question (0 if it isn't among them), how many there are, and the documents right above it, best first.
+
+    hits (query_id, doc_id, score) need no order: better hits are counted, and only those are ranked that stand above.
+    """
+    own = wanted.select("query_id", F.col("doc_id").alias("_doc")).distinct()
+    mine = own.join(hits.select("query_id", F.col("doc_id").alias("_doc"), F.col("score").alias("_score")), ["query_id", "_doc"], "left")
+    met = mine.join(hits, "query_id", "left")
+    better = (F.col("score") > F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.col("doc_id") < F.col("_doc")))
+    counted = met.groupBy("query_id", "_doc").agg(
+        F.count("doc_id").alias("of"), F.when(F.max("_score").isNull(), 0).otherwise(F.count_if(better) + 1).alias("rank")
     )
+    near = Window.partitionBy("query_id", "_doc").orderBy("score", F.desc("doc_id"))
+    next_up = met.where(better).withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= above)
+    listed = next_up.groupBy("query_id", "_doc").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), "doc_id"))), lambda x: x["doc_id"]).alias("above"))
+    rows = counted.join(listed, ["query_id", "_doc"], "left")
+    return rows.select("query_id", F.col("_doc").alias("doc_id"), "rank", "of", F.coalesce("above", F.array().cast("array<bigint>")).alias("above"))
+
+
+def sources(parts: DataFrame, terms: DataFrame, vocabulary: DataFrame, texts: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, doc_id, grp, words): the words of a document's text (doc_id, text) whose spellings met a group, by
+    spelling and then by place, the first few. Documents and groups are those of parts."""
+    pairs = parts.select("query_id", "doc_id").distinct()
+    raw = pairs.join(texts, "doc_id").select("query_id", "doc_id", F.posexplode(words.split_words(F.col("text"))).alias("_at", "_raw"))
+    first = raw.groupBy("query_id", "doc_id", "_raw").agg(F.min("_at").alias("_at"))
+    made = first.withColumn("_word", words.normalize(F.col("_raw"))).where(F.length("_word") > 0)
+    spelt = made.select("query_id", "doc_id", "_at", "_raw", F.explode(words.variants(F.col("_raw"), F.col("_word"))).alias("term"))
+    known = terms.join(vocabulary.select("term"), "term").select("query_id", "grp", "pos", "term")
+    met = spelt.join(known, ["query_id", "term"]).groupBy("query_id", "doc_id", "grp", "_raw").agg(F.min(F.struct("pos", "_at")).alias("_p"))
+    listed = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_raw"))), lambda x: x["_raw"]), 1, most)
+    return met.groupBy("query_id", "doc_id", "grp").agg(listed.alias("words"))
 
 
 def bm25(parts: DataFrame, limit: int = POOL) -> DataFrame:
@@ -105,7 +175,7 @@ def highlight_terms(fused: DataFrame, vocabulary: DataFrame, total: Column, most
 
 def hydrate(fused: DataFrame, records: DataFrame, books: DataFrame, chapters: DataFrame, site: str = "", key: str = "rec_id") -> DataFrame:
     """Fused results with their record, book and chapter; results without a record are dropped. Texts join last."""
-    got = fused.select("query_id", F.col("doc_id").alias(key), "rank", "score").join(records, key)
+    got = fused.select("query_id", F.col("doc_id").alias(key), "rank", "score").join(records, key)  # records of few ids: see records_of
     got = got.join(books.select("collection", "book_number", F.col("english").alias("book")), ["collection", "book_number"], "left")
     titles = chapters.select("collection", "book_number", "ch", F.col("en").alias("chapter"))
     got = got.join(titles, ["collection", "book_number", "ch"], "left")

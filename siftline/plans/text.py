@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import display as D
 from siftline.functions import markup as M
 from siftline.functions import words as W
-from siftline.operators import lexical
+from siftline.operators import lexical, ranges
 from siftline.plans import sql as S
 from siftline.sources.tables import latest_records, table
 
@@ -103,8 +103,26 @@ def highlights(spark: SparkSession, folder: str) -> DataFrame:
 def merged_ranges(spark: SparkSession, folder: str) -> DataFrame:
     """Days covered by each user's events, every event covering twenty minutes, as joined ranges in seconds."""
     events = table(spark, folder, "events").select("user_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '2020-01-01 00:00:00', ts)").cast("int").alias("s"))
-    lists = events.groupBy("user_id").agg(F.collect_list(F.struct(F.col("s").alias("start"), (F.col("s") + 1200).alias("end"))).alias("r"))
-    return lists.select("user_id", F.explode(D.merge_ranges(F.col("r"))).alias("x")).select("user_id", "x.start", "x.end")
+    return ranges.merged(events.select("user_id", F.col("s").alias("start"), (F.col("s") + 1200).alias("end")), "user_id")
+
+
+def coloured(spark: SparkSession, folder: str) -> DataFrame:
+    """The Arabic text of every record in coloured segments, with the words of its chapter's title marked."""
+    titles = table(spark, folder, "chapters").select("collection", "book_number", "ch", F.concat_ws(" ", "ar", "en").alias("q"))
+    rows = latest_records(spark, folder, "collection", "book_number", "ch", "ar").join(titles, ["collection", "book_number", "ch"])
+    html = D.coloured(F.col("ar"), F.col("q"))
+    return rows.select("rec_id", F.size(F.regexp_extract_all(html, F.lit("<span"), F.lit(0))).alias("spans"), F.md5(F.regexp_replace(html, "</?mark>", "")).alias("html_md5"))
+
+
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers, sizes and shares in both languages, beginnings of texts."""
+    rows = latest_records(spark, folder, "ar", "en")
+    c = F.col("rec_id") * 977
+    return rows.select(
+        "rec_id", D.num(c, "en").alias("num_en"), D.num(c, "ar").alias("num_ar"), D.size_text(c * 1000).alias("size_en"), D.size_text(c * 1000, "ar").alias("size_ar"),
+        D.percent_text(1 / (F.col("rec_id") + 1)).alias("part_en"), D.percent_text(1 / (F.col("rec_id") + 1), "ar").alias("part_ar"),
+        F.md5(D.text_of(F.col("ar"), F.col("en"))).alias("text_md5"), D.snippet(F.col("ar"), F.col("en")).alias("snippet"),
+    )
 
 
 def visible_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,10 +150,24 @@ QUERIES = {
     "split_words": split_words, "normalize_words": normalize_words, "word_variants": word_variants, "unique_terms": unique_terms,
     "query_terms": query_terms, "document_text": document_text, "topic_keys": topic_keys, "content_words": content_words,
     "passages": passages, "record_cards": record_cards, "segments": segments, "quoted_parts": quoted_parts, "highlights": highlights,
-    "merged_ranges": merged_ranges, "visible_text": visible_text,
+    "merged_ranges": merged_ranges, "visible_text": visible_text, "coloured": coloured, "labels": labels,
 }
 
+_NUM = lambda x: f"format('{{:,}}', {x})"
+_EASTERN = lambda x: f"translate({x}, '0123456789,', '٠١٢٣٤٥٦٧٨٩٬')"
+_SEGMENTS = f"""seg AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY side, i) - 1 AS nth, CASE WHEN regexp_full_match(s, '(?s)\\{{[^{{}}]*\\}}') THEN 'quran' WHEN side = 0 THEN 'sanad' ELSE 'matn' END AS kind, {S.trim('s')} AS text
+   FROM (SELECT rec_id, side, i, l[i] AS s FROM (SELECT rec_id, side, l, unnest(range(1, len(l) + 1)) AS i FROM (
+     SELECT rec_id, side, string_split(regexp_replace(t, '(\\{{[^{{}}]*\\}})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS l
+     FROM (SELECT rec_id, 0 AS side, coalesce(ar.sanad, '') AS t FROM {S.records()} UNION ALL SELECT rec_id, 1, coalesce(ar.matn, '') FROM {S.records()})))) WHERE {S.trim('s')} <> '')"""
+
 ORACLES = {
+    "segments": f'WITH {_SEGMENTS} SELECT rec_id, nth::INT AS "at", kind, text FROM seg',
+    "coloured": f"""WITH {_SEGMENTS}, r AS (SELECT rec_id, count(*)::INT AS spans, string_agg('<span class="ar-' || kind || '">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</span>', ' ' ORDER BY nth) AS h FROM seg GROUP BY rec_id)
+        SELECT x.rec_id, coalesce(r.spans, 0)::INT AS spans, md5(coalesce('<p class="arabic" dir="rtl" lang="ar">' || r.h || '</p>', '')) AS html_md5
+        FROM {S.records()} x JOIN chapters c ON c.collection = x.collection AND c.book_number = x.book_number AND c.ch = x.ch LEFT JOIN r USING (rec_id)""",
+    "labels": f"""SELECT rec_id, {_NUM('rec_id * 977')} AS num_en, {_EASTERN(_NUM('rec_id * 977'))} AS num_ar, {_NUM('floor(rec_id * 977000 / 1e6 + 0.5)::BIGINT')} || ' MB' AS size_en,
+        {_EASTERN(_NUM('floor(rec_id * 977000 / 1e6 + 0.5)::BIGINT'))} || ' م.ب' AS size_ar, floor(100.0 / (rec_id + 1) + 0.5)::BIGINT || '%' AS part_en, {_EASTERN('(floor(100.0 / (rec_id + 1) + 0.5)::BIGINT)::VARCHAR')} || '٪' AS part_ar,
+        md5(array_to_string({_FILLED.format('ar.matn, ar.sanad, en')}, ' ')) AS text_md5, substr(regexp_replace(array_to_string({_FILLED.format('ar.matn, en')}, ' | '), {_WS}, ' ', 'g'), 1, 90) AS snippet FROM {S.records()}""",
     "split_words": f"SELECT doc_id, len({S.pieces('coalesce(text, $$$$)')})::INT AS words FROM documents",
     "normalize_words": f"SELECT raw, translate(raw, {S.quote(chr(0x670) + W.DROPPED)}, {S.quote(W.ALEF)}) AS bare, {S.is_arabic('raw')} AS arabic, {S.normalize('raw')} AS word FROM {_PIECES}",
     "word_variants": f"""SELECT raw, word, string_agg(term, '|' ORDER BY pos) AS variants FROM (
@@ -153,7 +185,7 @@ ORACLES = {
         trim(regexp_replace(translate(translate(coalesce(ar, ''), {S.quote(chr(0x670) + W.DROPPED)}, {S.quote(W.ALEF)}), 'آأإٱ', 'اااا'), {_WS}, ' ', 'g')) AS flat FROM chapters""",
     "content_words": f"""SELECT rec_id, array_to_string(list_sort(list_distinct(list_filter(list_transform({S.pieces("coalesce(en, '')")}, lambda p: {S.normalize('p')}), lambda w: length(w) >= 3))), '|') AS words FROM {S.records()}""",
     "passages": f"""SELECT r.rec_id, md5(trim(regexp_replace(array_to_string({_FILLED.format('r.ar.matn, r.en, c.ar, c.en')}, ' '), {_WS}, ' ', 'g'))) AS passage_md5,
-        md5(trim(coalesce(nullif(r.ar.matn, ''), nullif(r.ar.sanad, ''), ''))) AS readable_md5 FROM {S.records()} r {_CHAPTERS}""",
+        md5({S.trim("coalesce(nullif(r.ar.matn, ''), nullif(r.ar.sanad, ''), '')")}) AS readable_md5 FROM {S.records()} r {_CHAPTERS}""",
     "record_cards": f"""SELECT r.rec_id, coalesce(nullif(b.arabic, ''), nullif(b.english, ''), '') AS book_ar, coalesce(nullif(b.english, ''), nullif(b.arabic, ''), '') AS book_en,
         CASE WHEN coalesce(r.slug, '') <> '' THEN '/' || r.slug END AS url,
         array_to_string(list_filter([coalesce(nullif(r.ref, ''), nullif(r.slug, '')), nullif(r.inbookref, ''), nullif(coalesce(nullif(c.en, ''), nullif(c.ar, ''), ''), ''), nullif(coalesce(nullif(r.grade, ''), nullif(r.gradear, ''), ''), '')], lambda x: x IS NOT NULL), ' | ') AS chips,

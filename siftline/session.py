@@ -67,6 +67,18 @@ def _drop_tables() -> None:
             pass
 
 
+def stamp(spark: SparkSession, path: str) -> int:
+    """Bytes and last change of the files of a table: another number once the table is written again; 0 without one."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return 0
+    status = files.getFileStatus(at)
+    inner = list(files.listStatus(at)) if status.isDirectory() else [status]
+    return hash(tuple((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in inner))
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks that a Python stage over the whole input should have at least."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -29,9 +29,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def latest_records(spark: SparkSession, folder: str, *fields: str) -> DataFrame:
-    """hadiths with one row per rec_id, the last scraped one; only the named fields are read and moved (all, if none is)."""
+def latest_records(spark: SparkSession, folder: str, *fields: str, only: DataFrame | None = None) -> DataFrame:
+    """hadiths with one row per rec_id, the last scraped one; only the named fields are read and moved (all, if none is).
+    only: the rec_ids wanted; other rows are dropped before they are compared."""
     rows = table(spark, folder, "hadiths").where("rec_id is not null")
+    if only is not None:
+        rows = rows.join(only.select("rec_id").distinct(), "rec_id", "left_semi")
     others = [c for c in fields or rows.columns if c not in ("rec_id", "scraped_at")]
     if not others:
         return rows.select("rec_id").distinct()
@@ -40,9 +43,10 @@ def latest_records(spark: SparkSession, folder: str, *fields: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, book_number, html) of raw pages, one file each; marks at the start dropped, line ends as one."""
+    """(path, book_number, html) of raw pages, one file each, in the order of their folders and numbers; marks at the start
+    dropped, line ends as one."""
     read = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    return read.select("path", book_number(F.col("path")).alias("book_number"), clean_page(F.col("value")).alias("html"))
+    return read.select("path", book_number(F.col("path")).alias("book_number"), clean_page(F.col("value")).alias("html")).orderBy(F.regexp_extract("path", "^(.*)/", 1), "book_number", "path")
 
 
 def book_files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -63,9 +67,34 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("collection", F.col("b.number").alias("book_number"), "b.english", "b.arabic", "b.hadiths", "b.chapters", "b.file")
 
 
-def write_books(records: DataFrame, path: str, kind: str = "parquet") -> None:
+def write_books(records: DataFrame, path: str, kind: str = "parquet", compression: str = "zstd") -> None:
     """Records partitioned by collection and book, so that reading a book reads its folder only."""
-    records.write.mode("overwrite").partitionBy("collection", "book_number").format(kind).save(path)
+    records.write.mode("overwrite").option("compression", compression).partitionBy("collection", "book_number").format(kind).save(path)
+
+
+def read_book(spark: SparkSession, path: str, wanted: DataFrame | list[tuple[str, int]], kind: str = "parquet") -> DataFrame:
+    """Records of some books of write_books(): only their folders are read. A DataFrame of (collection, book_number), such
+    as the books of ranked hits, prunes at run time by the small side of its join."""
+    rows = spark.read.format(kind).load(path)
+    if isinstance(wanted, DataFrame):
+        return rows.join(F.broadcast(wanted.select("collection", "book_number").distinct()), ["collection", "book_number"], "left_semi")
+    fits = F.lit(False)
+    for collection, book in wanted:
+        fits = fits | ((F.col("collection") == collection) & (F.col("book_number") == book))
+    return rows.where(fits)
+
+
+def write_catalogue(books: DataFrame, path: str, compression: str = "none") -> None:
+    """The catalogue file: collections with their totals and books, in the form that catalogue() reads. One row a book."""
+    book = F.struct(F.col("book_number").alias("number"), "english", "arabic", "hadiths", "chapters", F.col("source_file").alias("file"))
+    by = books.groupBy(F.col("collection").alias("id")).agg(F.sum("hadiths").alias("hadiths"), F.sum("chapters").alias("chapters"), F.array_sort(F.collect_list(book)).alias("books"))
+    whole = by.agg(F.array_sort(F.collect_list(F.struct("id", "hadiths", "chapters", "books"))).alias("collections"))
+    whole.coalesce(1).write.mode("overwrite").option("compression", compression).json(path)
+
+
+def write_topics(payload: DataFrame, path: str, compression: str = "gzip") -> None:
+    """The topics file of browse.topics_payload(): one JSON object."""
+    payload.coalesce(1).write.mode("overwrite").option("compression", compression).json(path)
 
 
 def merge_manifest(path: str, **sections: object) -> dict:

@@ -33,10 +33,25 @@ def test_segments(spark):
     ar = F.struct(F.lit("chain {q1}").alias("sanad"), F.lit("one {two} three { stray").alias("matn"))
     assert [(s.kind, s.text) for s in value(spark, D.segments(ar))] == [("sanad", "chain"), ("quran", "{q1}"), ("matn", "one"), ("quran", "{two}"), ("matn", "three { stray")]
     assert value(spark, D.readable(F.struct(F.lit(" s ").alias("sanad"), F.lit("").alias("matn")))) == "s"
+    odd = F.struct(F.lit("\n{q}\u00a0").alias("sanad"), F.lit("\u2003m\ufeff").alias("matn"))
+    assert [(s.kind, s.text) for s in value(spark, D.segments(odd))] == [("quran", "{q}"), ("matn", "m")] and value(spark, D.readable(odd)) == "m"
+
+
+def test_colours_and_beginnings(spark):
+    ar = F.struct(F.lit("chain").alias("sanad"), F.lit("rain {two}").alias("matn"))
+    assert value(spark, D.coloured(ar, F.lit("rain"), "big")) == (
+        '<p class="arabic big" dir="rtl" lang="ar"><span class="ar-sanad">chain</span> <span class="ar-matn"><mark>rain</mark></span> <span class="ar-quran">{two}</span></p>'
+    )
+    none = F.struct(F.lit(None).cast("string").alias("sanad"), F.lit("").alias("matn"))
+    assert value(spark, D.coloured(none, F.lit("rain"))) == ""
+    assert value(spark, D.text_of(ar, F.lit("en"))) == "rain {two} chain en" and value(spark, D.snippet(ar, F.lit("a\n b"), 14)) == "rain {two} | a"
 
 
 def test_labels(spark):
     assert value(spark, D.eastern_digits(F.lit(105))) == "١٠٥"
+    assert value(spark, D.num(F.lit(1234567), "ar")) == "١٬٢٣٤٬٥٦٧" and value(spark, D.num(F.lit(1234567), "en")) == "1,234,567"
+    assert value(spark, D.size_text(F.lit(1048576 * 2))) == "2 MB" and value(spark, D.size_text(F.lit(2_500_000), "ar")) == "٣ م.ب"
+    assert value(spark, D.percent_text(F.lit(0.125))) == "13%" and value(spark, D.percent_text(F.lit(1.0), "ar")) == "١٠٠٪"
     assert value(spark, D.fill("{n} of {m} {x}", n=F.lit(3), m=F.lit("9"))) == "3 of 9 {x}"
     assert value(spark, D.why(F.lit(1), F.lit(0), F.array(F.lit("a"), F.lit("a"), F.lit("b")))) == "words: a, b"
     assert value(spark, D.pick(F.lit(""), F.lit("en"), "ar")) == "en"
@@ -64,15 +79,16 @@ def test_slices(spark):
     assert cut("nothing", ["</a>"]) == ""
 
 
+OPEN = M.CONTAINER_WRITTEN.replace("{collection}", "safina")
 PAGE = (
-    "<div class=chapter><div class=echapno>(1)</div><div class=englishchapter>Chapter: On rain</div>"
-    '<div class="arabicchapter arabic">باب المطر</div><div class=clear></div><div class="arabic achapintro aconly">مقدمة</div>'
-    '<div class="actualHadithContainer hadith_container_safina" id=h7><a name=3></a><div class="english_hadith_full"><div class=hadith_narrated>By A</div>'
-    '<div class=text_details><p>It rained.</p></div></div><div class="arabic_hadith_full"><span class="arabic_sanad">عن &#1593;</span>'
-    "<span class=arabic_text_details>مطر</span><span class=arabic_sanad> </span></div><!-- End hadith -->"
-    "<div class=hadith_annotation><table><td class=english_grade>Grade:</td><td class=english_grade>Good (Zayd)</td></table></div>"
-    '<table class=hadith_reference><tr><td><b>Reference</b></td><td>: <a href="/safina:12b">Safina 12b</a></td><td>In-book reference</td><td>: Book 1, 3</td></table>'
-    '<!-- end actual hadith container --><div class="actualHadithContainer hadith_container_safina" id=h8><div class="arabic_hadith_full">bare <b>block</b>'
+    f"{M.CHAPTER}<div class=echapno>(1)</div><div class=englishchapter>Chapter: On rain</div>"
+    f'<div class="arabicchapter arabic">باب المطر</div>{M.CLEAR}<div class="arabic achapintro aconly">مقدمة</div>'
+    f"{OPEN.replace('{id}', '7')}<a name=3></a>{M.ENGLISH_START}{M.NARRATED}By A</div>"
+    f"""{M.DETAILS}<p>It rained.</p></div></div>{M.ARABIC_START}"><span class="arabic_sanad">عن &#1593;</span>"""
+    f"<span class=arabic_text_details>مطر</span><span class=arabic_sanad> </span></div>{M.RECORD_END}"
+    f"{M.ANNOTATION}<table><td class=english_grade>Grade:</td><td class=english_grade>Good (Zayd)</td></table></div>"
+    f'{M.REFERENCE_TABLE}><tr><td><b>Reference</b></td><td>: <a href="/safina:12b">Safina 12b</a></td><td>In-book reference</td><td>: Book 1, 3</td></table>'
+    f'{M.CONTAINER_END}{OPEN.replace("{id}", "8")}{M.ARABIC_START}">bare <b>block</b>'
 )
 
 
@@ -87,4 +103,7 @@ def test_page(spark):
     chapter = M.chapters_of(pages).first()
     assert (chapter.n, chapter.nar, chapter.en, chapter.ar, chapter.intro) == (1, None, "On rain", "باب المطر", "مقدمة")
     levels = {(r.level, r.message) for r in M.reconcile(pages, M.records_of(pages)).collect()}
-    assert ("error", "#2 has no reference link") in levels and not any("blocks" in m for _, m in levels)
+    assert ("error", "#2: link missing") in levels and not any("extracted" in m for _, m in levels)
+    said = pages.where("page_id = 1").select("page_id", F.concat("html", F.lit("var collection = 'mizan' var bookID = '4' <b>9</b> " + M.DECLARED.split(" ")[-1])).alias("html"), F.lit("safina").alias("collection"), F.lit(3).alias("book_number"))
+    notes = {(r.level, r.message) for r in M.reconcile(said, M.records_of(said)).collect()}
+    assert {("error", "the collection in the page is mizan"), ("error", "the book in the page is 4"), ("warning", "2 records found where 9 are declared")} <= notes

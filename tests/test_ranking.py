@@ -108,6 +108,62 @@ def test_asof_is_strict(spark):
     assert {r.id: r.name for r in asof.asof(left, right, ["k"], "at", ["name"], strict=False).collect()} == {1: "b", 2: "a", 3: "b", 4: None}
 
 
+def test_asof_carries_over_ranges(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else "cold", i) for i in range(200)], "id int, k string, at int")
+    right = spark.createDataFrame([("hot", 3, "a"), ("hot", 150, "b"), ("cold", 90, "c")], "k string, at int, name string")
+    got = {r.id: r.name for r in asof.asof(left, right, ["k"], "at", ["name"]).collect()}
+    assert got == {i: (("b" if i > 150 else "a" if i > 3 else None) if i % 3 else ("c" if i > 90 else None)) for i in range(200)}
+
+
+def test_prefixed_length_decides(spark):
+    rows = spark.createDataFrame([("x" * 890, ["x"] * 300, 2000), ("x" * 895, ["x"] * 300, 2000)], "t string, w array<string>, n int")
+    got = rows.select(F.size(vectors.windows(F.col("t"), "passage", F.col("n"), F.col("w"))).alias("n")).collect()
+    assert [r.n for r in got] == [1, 4]  # 890 + 9 characters fit, 895 + 9 don't
+
+
+def test_rare_terms_go_by_first_place(spark):
+    placed = lexical.first_places(docs(spark, "zebra camel tiger otter", "zebra camel tiger otter", "zebra camel"))
+    rare = evaluation.rare_terms(placed, spark.createDataFrame([("zebra", 2), ("camel", 2), ("tiger", 2), ("otter", 2)], "term string, df bigint"))
+    assert [(r.doc_id, r.term) for r in rare.orderBy("doc_id", "nth").collect()] == [(d, t) for d in (0, 1) for t in ("zebra", "camel", "tiger")]
+
+
+def test_numbering_and_notes(spark):
+    rows = evaluation.numbered(spark.createDataFrame([(x,) for x in (30, 10, 20, 50, 40)], "v int"), "v")
+    assert {r.v: r.place for r in rows.collect()} == {10: 0, 20: 1, 30: 2, 40: 3, 50: 4}
+    notes = spark.createDataFrame([(i, f"n{i}") for i in range(25)], "i int, note string")
+    got = [r.note for r in evaluation.first_notes(notes, "i").orderBy("nth").collect()]
+    assert got[:2] == ["n0", "n1"] and got[20] == "… 5 more" and len(got) == 21
+    assert evaluation.first_notes(notes.limit(3), "i").count() == 3
+
+
+def test_markers_of_the_corpus(spark):
+    texts = spark.createDataFrame([("the camel crossed",), ("a river",)], "text string")
+    markers = spark.createDataFrame([(1, "camel crossed", ["camel", "crossed"]), (2, "camel river", ["camel", "river"]), (3, "camel palm", ["camel", "palm"]), (4, "", [])], "query_id bigint, phrase string, words array<string>")
+    assert {r.query_id for r in evaluation.present(texts, markers).collect()} == {1, 2}
+    assert evaluation.present(texts, markers.limit(0)).count() == 0
+
+
+def test_place_of_one_record(spark):
+    hits = spark.createDataFrame([(0, 1, 3.0), (0, 2, 2.0), (0, 3, 2.0), (0, 4, 1.5), (0, 5, 1.0)], "query_id bigint, doc_id bigint, score double")
+    wanted = spark.createDataFrame([(0, 5), (0, 3), (0, 9), (0, 1)], "query_id bigint, doc_id bigint")
+    got = {r.doc_id: (r["rank"], r.of, list(r.above)) for r in ranking.places(wanted, hits).collect()}
+    assert got == {5: (5, 5, [2, 3, 4]), 3: (3, 5, [1, 2]), 9: (0, 5, []), 1: (1, 5, [])}
+
+
+def test_fast_ranking_is_the_explained_one(spark):
+    texts = ["camel camel river", "camels", "river stone camel", "palm", "stone stone rivers"]
+    posted = lexical.postings(docs(spark, *texts), lengths=True)
+    terms = lexical.query_terms(asked(spark, "camels river", "stone palm camel"))
+    known = lexical.vocabulary(posted, len(texts), 1.0)
+    slow = ranking.bm25(ranking.contributions(terms, posted, None, known, len(texts), 2)).collect()
+    fast = ranking.ranked(terms, posted, known, len(texts), 2).collect()
+    key = lambda r: (r.query_id, r["rank"])
+    assert [(r.query_id, r.doc_id, r.terms) for r in sorted(slow, key=key)] == [(r.query_id, r.doc_id, r.terms) for r in sorted(fast, key=key)]
+    assert [r.score for r in sorted(fast, key=key)] == pytest.approx([r.score for r in sorted(slow, key=key)])
+    plain = lexical.plain_terms(spark.createDataFrame([(0, ["camel", "camel", "stone"])], "query_id bigint, terms array<string>"))
+    assert [(r.grp, r.term) for r in plain.orderBy("grp").collect()] == [(0, "camel"), (1, "stone")]
+
+
 def test_metrics(spark):
     row = evaluation.metrics(spark.createDataFrame([(1,), (4,), (11,), (None,)], "rank int")).first()
     assert (row.hit_1, row.hit_5, row.hit_10, row.mrr_10) == (0.25, 0.5, 0.5, pytest.approx((1 + 0.25) / 4))
