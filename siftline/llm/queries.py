@@ -12,16 +12,18 @@ from siftline.llm.common import records, table, valid_builds
 from siftline.session import cut
 
 
+def _p1(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "hadiths").withColumn("words", distinctive.words_of("ar.matn", "en", "narrator"))
+    return distinctive.log_entropy(records(rows, "words"), "rec_id", "words")
+
+
 def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Score of every word of every record."""
-    rows = records(table(spark, folder, "hadiths"), "ar.matn", "en", "narrator")
-    return distinctive.log_entropy(rows, "rec_id", "matn", "en", "narrator").withColumn("score", F.round("score", 6))
+    return _p1(spark, folder).withColumn("score", F.round("score", 6))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = records(table(spark, folder, "hadiths"), "ar.matn", "en", "narrator")
-    scored = distinctive.log_entropy(rows, "rec_id", "matn", "en", "narrator")
-    return scored.where((F.col("tf") >= 3) & F.col("df").between(2, 8)).select("rec_id", "term")
+    return _p1(spark, folder).where((F.col("tf") >= 3) & F.col("df").between(2, 8)).select("rec_id", "term")
 
 
 def _p2(spark: SparkSession, folder: str) -> DataFrame:
