@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pkgutil
 import sys
 import unicodedata
 from functools import lru_cache
@@ -15,8 +16,9 @@ SAME_LOOK = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolate
 VISIBLE_FORMAT = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD}
 #: Characters that show nothing though they aren't format characters.
 INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10)}
-#: Letters of other scripts that are drawn like Latin ones.
-LOOKS_LATIN = dict(zip("\u0391\u0392\u0395\u0396\u0397\u0399\u039a\u039c\u039d\u039f\u03a1\u03a4\u03a5\u03a7\u03bf\u0410\u0412\u0415\u041a\u041c\u041d\u041e\u0420\u0421\u0422\u0425\u0405\u0406\u0408\u04ae\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0455\u0456\u0458", "ABEZHIKMNOPTYXoABEKMHOPCTXSIJYaeopcyxsij"))
+#: Letters of other scripts that are drawn like Latin ones, and digits that share a shape: data/look_alikes.txt.
+_TABLE = (line.split() for line in pkgutil.get_data("siftline.llm", "data/look_alikes.txt").decode("utf-8").splitlines() if line.startswith("U+"))
+LOOKS_LIKE = {chr(int(code[2:], 16)): like for code, _, like in _TABLE}
 #: Arabic letters whose look depends on whether another letter follows: before a letter, at the end of a run.
 KEHEH, KAF, FARSI_YEH, YEH, DOTLESS_YEH, AE, HEH = "\u06a9", "\u0643", "\u06cc", "\u064a", "\u0649", "\u06d5", "\u0647"
 MARKS = "\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc\u06df-\u06e4\u06e7\u06e8\u06ea-\u06ed"
@@ -44,7 +46,7 @@ def tables() -> tuple[list[tuple[str, str]], list[tuple[str, int, bool]], dict[s
                 chars = "".join(chr(int(x, 16)) for x in kind.split() if x[0] != "<")
                 out.append(same(chars, deep + 1))
             else:
-                out.append(LOOKS_LATIN.get(c) or unicodedata.normalize("NFD", c))
+                out.append(LOOKS_LIKE.get(c) or unicodedata.normalize("NFD", c))
         return "".join(out)
 
     for code in range(sys.maxunicode + 1):
@@ -132,7 +134,8 @@ def consistent(texts: DataFrame, keys: list[str], field: str) -> DataFrame:
 
     Canonical and width variants, presentation forms, all spaces of one character, invisible characters, the order of
     marks, look-alike letters of other scripts, and Arabic letters that share their shape in their place come out
-    alike. Vowel signs, dots, hamzas, elongations, the shape of digits, punctuation and the number of spaces stay.
+    alike, and so do digits of one shape. Vowel signs, dots, hamzas, elongations, the shape of digits, punctuation and the
+    number of spaces stay.
 
     Texts that contain nothing to change (no character outside the plain ones, no two marks in a row) keep their
     spelling without being exploded: the mapping is the identity on them. In other texts the pieces between plain
