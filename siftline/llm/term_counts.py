@@ -14,9 +14,10 @@ from siftline.session import cut, parallelism
 #: Terms a container holds before it bursts, and terms a worker holds before it hands its trie on.
 CONTAINER = 256
 WORKER_TERMS = 400_000
-#: Terms (counted once per worker) that one route may have before it is split by the next character.
+#: Terms (counted once per worker) that one route may have before it is split by the next character, and characters
+#: that a round of splitting looks at; the next round looks at twice as many, and only at terms whose route is still full.
 ROUTE_TERMS = 50_000
-DEEPEST_ROUTE = 24
+FIRST_LOOK = 8
 
 _PART = "prefix string, suffixes array<string>, tfs array<bigint>, dfs array<bigint>"
 
@@ -144,13 +145,14 @@ def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows()
 
 
-def term_counts(records: DataFrame, field: str) -> DataFrame:
+def term_counts(records: DataFrame, field: str, route_terms: int = ROUTE_TERMS) -> DataFrame:
     """(term, tf, df): occurrences of every word of the field, and records with it. One input row is one record.
 
     Every worker fills a burst trie and hands its containers on, so a word crosses the network once per worker however
-    often it occurs. The prefixes that are too full over all workers are burst into longer routes (their number is at
-    most DEEPEST_ROUTE for every ROUTE_TERMS counted terms, and the bound is on the terms of the vocabulary, not of
-    the text); matching subtrees of all workers meet in one task per route.
+    often it occurs. The prefixes that are too full over all workers are burst into longer routes, to any depth, until
+    none but a single term has more than route_terms counted terms; a task holds one route's trie at a time. Only burst
+    prefixes come to the driver: at most the length of a common beginning for every route_terms counted terms of the
+    vocabulary (not of the text). Matching subtrees of all workers meet in one task per route.
 
     Null and empty texts have no words; an empty input gives an empty result.
     """
@@ -158,11 +160,20 @@ def term_counts(records: DataFrame, field: str) -> DataFrame:
     parts = cut(records.select(F.col(field).alias("text")).mapInPandas(_count, _PART))
     total = parts.agg(F.sum(F.size("suffixes"))).first()[0] or 0
     burst: set[str] = set()
-    full = max(ROUTE_TERMS, total // 4096)
-    if total > full:
-        terms = parts.select(F.explode(F.transform("suffixes", lambda s: F.concat(F.col("prefix"), s))).alias("t"))
-        heads = terms.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("t"), F.lit(DEEPEST_ROUTE))), lambda k: F.substring(F.col("t"), F.lit(1), k))).alias("head"))
-        burst = {r.head for r in heads.groupBy("head").count().where(F.col("count") > full).select("head").toLocalIterator()}
+    terms = parts.select(F.explode(F.transform("suffixes", lambda s: F.concat(F.col("prefix"), s))).alias("t"))
+    seen, look = 0, FIRST_LOOK
+    while total > route_terms:
+        ends = F.sequence(F.lit(seen + 1), F.least(F.length("t"), F.lit(seen + look)))
+        longer = terms.where(F.length("t") > seen)
+        heads = longer.select(F.explode(F.transform(ends, lambda k: F.substring(F.col("t"), F.lit(1), k))).alias("head"))
+        full = [r.head for r in heads.groupBy("head").count().where(F.col("count") > route_terms).select("head").toLocalIterator()]
+        burst.update(full)
+        seen, look = seen + look, look * 2
+        deepest = [h for h in full if len(h) == seen]
+        if not deepest:
+            break
+        met = spark.createDataFrame([(h,) for h in deepest], "_head string")
+        terms = terms.join(F.broadcast(met), F.substring("t", 1, seen) == F.col("_head"), "left_semi")
     routed = parts.mapInPandas(_routed(frozenset(burst)), "route string, " + _PART)
     placed = routed.repartition(parallelism(spark), "route").sortWithinPartitions("route")
     return placed.mapInPandas(_merged, "term string, tf bigint, df bigint")
