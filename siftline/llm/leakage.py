@@ -55,13 +55,16 @@ class Items:
         self.run, self.budget = run, budget
         self.piece = max(1, run // (budget + 1))
         reader, self.vocabulary = WordReader(), {}
-        self.words: dict[int, list[int]] = {}
+        #: Texts of items, of which several may bear one id.
+        self.words: list[list[int]] = []
+        self.ids: list[int] = []
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in reader.words(text)]
             if len(ids) >= run:
-                self.words[item] = ids
+                self.words.append(ids)
+                self.ids.append(item)
         places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for item, ids in self.words.items():
+        for item, ids in enumerate(self.words):
             for s in range(len(ids) - self.piece + 1):
                 places.setdefault(tuple(ids[s : s + self.piece]), []).append((item, s))
         self.places = places
@@ -118,17 +121,20 @@ def _searched(shared) -> object:
                 best: dict[tuple[int, int], tuple[int, int]] = {}
                 passed: dict[tuple[int, int, int], int] = {}
                 at = np.searchsorted(starts, hits, "right") - 1
+                doc, of = [], -1
                 for hit, d in zip(hits.tolist(), at.tolist()):
+                    if d != of:
+                        doc, of = flat[starts[d] : starts[d + 1] - 1], d
                     for item, s in items.places.get(tuple(flat[hit : hit + n]), ()):
                         if passed.get((d, item, hit - s), -1) >= hit:
                             continue  # inside the exact run that a hit before it gave
-                        doc = flat[starts[d] : starts[d + 1] - 1]
                         length, distance = items.verify(doc, hit - starts[d], item, s)
                         if length >= items.run:
                             passed[d, item, hit - s] = hit + length - n
                         if distance <= items.budget:
-                            old = best.get((d, item), (0, distance))
-                            best[d, item] = (max(old[0], length), min(old[1], distance))
+                            own = d, items.ids[item]
+                            old = best.get(own, (0, distance))
+                            best[own] = (max(old[0], length), min(old[1], distance))
                 keys = batch["_key"].tolist()
                 out = [(keys[d], item, length, distance) for (d, item), (length, distance) in best.items()]
             yield pd.DataFrame(out, columns=["_key", "item_id", "words", "distance"])
@@ -149,7 +155,7 @@ def leaks(
 
     The items are stated queries: they go to the workers in blocks of block_bytes, one pass over the documents each.
     Items of fewer than run words, null and empty texts match nothing. Repeated documents each give their rows; a
-    repeated key with other texts may give a row per text. Items with equal ids keep the last text in text order.
+    repeated key with other texts may give a row per text. Items with equal ids all count, under their id.
     """
     spark = documents.sparkSession
     kind = documents.schema[key].dataType.simpleString()
