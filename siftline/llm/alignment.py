@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.words import SPACE, WordReader
+from siftline.functions.words import SPACE, WordReader, py_without_lead
 from siftline.session import cut
 
 #: Share of the distinct texts from which a word is common: it hardly marks a place (its row of the bitext space is
@@ -25,7 +25,6 @@ COVERED, LEAN, WHOLE = 0.6, -0.35, 0.8
 REST, REST_POINTS, DENSE = 0.4, 4, 0.7
 AND = "\u0648"
 _END = re.compile(f"(?<=[.!?\\u061f])[{SPACE}]+")
-_ARTICLE = re.compile("^(?:\\u0648\\u0627\\u0644|\\u0641\\u0627\\u0644|\\u0628\\u0627\\u0644|\\u0643\\u0627\\u0644|\\u0644\\u0644|\\u0627\\u0644)(?=..)")
 
 
 def sentences(text: str) -> list[str]:
@@ -41,7 +40,7 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if got is None:
             if len(stems) > 200_000:
                 stems.clear()
-            got = stems[word] = _ARTICLE.sub("", word)
+            got = stems[word] = py_without_lead(word)
         return got
 
     for batch in batches:
@@ -294,7 +293,7 @@ def aligned(
             for a, e in batch.itertuples(index=False):
                 left, right = reader.words(a), reader.words(e)
                 if len(left) == 1:
-                    out.extend((_ARTICLE.sub("", left[0]), v) for v in right)
+                    out.extend((py_without_lead(left[0]), v) for v in right)
             yield pd.DataFrame(out, columns=["_w", "_v"])
 
     known = terms.mapInPandas(entries, "_w string, _v string").distinct()
