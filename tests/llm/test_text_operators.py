@@ -61,6 +61,13 @@ def test_term_counts(spark, monkeypatch):
     assert term_counts.term_counts(rows.limit(0), "text").count() == 0
 
 
+def test_routes_of_long_common_beginnings(spark):
+    words = [f"{'x' * 40}{i}" for i in range(300)] + [f"{'x' * 25}y{i}" for i in range(300)] + ["x" * 40, "x"]
+    rows = spark.createDataFrame([(" ".join(words),), (" ".join(words[:10]),), (None,), ("",)], "en string")
+    got = {r.term: (r.tf, r.df) for r in term_counts.term_counts(rows, "en", 50).collect()}
+    assert got == {w: (2, 2) if w in words[:10] else (1, 1) for w in words if len(w) > 1}
+
+
 def plain_bpe(piece, ranks):
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while len(parts) > 1:
@@ -127,6 +134,14 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in split.where("words >= 12").collect()} >= {(1, 10), (7, 13)}
 
 
+def test_items_of_one_id_all_count(spark):
+    one, two = [" ".join(f"{c}word{i}" for i in range(14)) for c in "ab"]
+    items = spark.createDataFrame([(7, one), (7, two), (7, one), (8, two)], "item_id bigint, text string")
+    documents = spark.createDataFrame([(1, f"before {one} after"), (2, two), (3, f"{one} {two}"), (4, "nothing")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(documents, items).where("words >= 12").collect()}
+    assert got == {(1, 7), (2, 7), (2, 8), (3, 7), (3, 8)}
+
+
 def same(spark, *texts):
     rows = spark.createDataFrame([(i, t, "f") for i, t in enumerate(texts)], "id bigint, text string, fld string")
     return {r.id: r.form for r in lookalike.consistent(rows, ["fld", "id"], "text").collect()}
@@ -135,6 +150,7 @@ def same(spark, *texts):
 @pytest.mark.parametrize(
     "a, b",
     [
+        ("۰۱۲۳۷۸۹", "٠١٢٣٧٨٩"), ("ρνԁԛһ", "pvdqh"),
         ("\uff21\uff22\uff23\uff11", "ABC1"), ("e\u0301", "\u00e9"), ("a\u00a0b\u200b", "a b"), ("\u0627\u0644\u200f", "\u0627\u0644"),
         ("\u0627\u0654", "\u0623"), ("\ufedb\ufe98\ufe8e\ufe8f", "\u0643\u062a\u0627\u0628"), ("\ufefb", "\u0644\u0627"),
         ("\u06a9\u062a\u0627\u0628", "\u0643\u062a\u0627\u0628"), ("\u0628\u06cc\u062a", "\u0628\u064a\u062a"), ("\u0639\u0644\u06cc", "\u0639\u0644\u0649"),
@@ -149,6 +165,7 @@ def test_same_look(spark, a, b):
 @pytest.mark.parametrize(
     "a, b",
     [
+        ("۴", "٤"), ("۶", "٦"),
         ("\u0643\u062a\u0628", "\u0643\u062a\u0640\u0628"), ("\u0643\u062a\u064e\u0628", "\u0643\u062a\u0628"), ("\u0665", "\u06f5"), ("\u0639\u0644\u064a", "\u0639\u0644\u0649"),
         ("\u0627\u0628", "\u0623\u0628"), ("a  b", "a b"), ("\u0645\u0644\u0643", "\u0645\u0644\u06a9"), ("a,", "a\u060c"),
     ],
