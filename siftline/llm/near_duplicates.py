@@ -15,9 +15,12 @@ from siftline.session import cut, parallelism
 #: Independent trees, and children that a node has for each of its records: with similarity s a pair stays together
 #: in a tree as long as a branching process with mean 2 s lives (0.85 at s = 0.7 over three levels).
 TREES, CHILDREN = 4, 2
-#: Records up to which a node is compared exhaustively, and the share of its parent from which a node no longer shrinks.
+#: Records up to which a node is compared exhaustively, and the share of its parent from which a node no longer shrinks:
+#: its records are then told apart by their rarest tokens instead (see _by_rare_tokens).
 SMALL, STUCK = 96, 0.5
 DEEPEST = 24
+#: Records of one side of a comparison in one task: larger leaves are compared in pairs of blocks.
+BLOCK = 512
 #: Minwise tokens per record that the paths choose from.
 COORDINATES = 64
 #: One-bit minwise sketch: bits, and the deviations below the expectation at the threshold from which a pair is dropped.
@@ -67,17 +70,18 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _FEATURES = "_id bigint, _size int, _minwise array<int>, " + ", ".join(f"_s{i} bigint" for i in range(BITS // 64))
 
 
-def _leaves(features: DataFrame) -> DataFrame:
-    """(_id, _node): the nodes in which records are to be compared with each other.
+def _leaves(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_id, _node) twice: the nodes in which records are to be compared with each other, and those that don't shrink.
 
     Level by level: every record goes to CHILDREN children of its node, each chosen by one coordinate of the node and
-    the record's minwise token there. Nodes of at most SMALL records are leaves; so are nodes of more than STUCK of
-    their parent, whose records are alike already. All others branch again.
+    the record's minwise token there. Nodes of at most SMALL records are leaves. Nodes of more than STUCK of their
+    parent, whose records share most of their tokens, branch no further by minwise tokens. All others branch again.
     """
     minwise = features.select("_id", "_minwise")
     rows = minwise.select("_id", F.explode(F.array(*[F.lit(t).cast("bigint") for t in range(TREES)])).alias("_node"))
     rows = rows.withColumn("_parent_size", F.lit(None).cast("bigint"))
-    leaves, level = None, 0
+    leaves = stuck = rows.select("_id", "_node").limit(0)
+    level = 0
     while level < DEEPEST:
         level += 1
         start = F.pmod(F.xxhash64("_node", F.lit(level)), F.lit(COORDINATES))
@@ -87,14 +91,40 @@ def _leaves(features: DataFrame) -> DataFrame:
         moved = rows.join(minwise, "_id").select("_id", "_parent_size", F.explode(child).alias("_node"))
         moved = cut(moved)
         sizes = moved.groupBy("_node").agg(F.count("*").alias("_n"), F.max("_parent_size").alias("_up"))
-        many = sizes.where(F.col("_n") > 1).withColumn("_leaf", (F.col("_n") <= SMALL) | F.coalesce(F.col("_n") > F.col("_up") * STUCK, F.lit(False)))
-        judged = cut(moved.select("_id", "_node").join(many.select("_node", "_n", "_leaf"), "_node"))
-        done = judged.where("_leaf").select("_id", "_node")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        rows = judged.where("not _leaf").select("_id", "_node", F.col("_n").alias("_parent_size"))
+        many = sizes.where(F.col("_n") > 1).select(
+            "_node", "_n", (F.col("_n") <= SMALL).alias("_leaf"), F.coalesce(F.col("_n") > F.col("_up") * STUCK, F.lit(False)).alias("_stuck")
+        )
+        judged = cut(moved.select("_id", "_node").join(many, "_node"))
+        leaves = leaves.unionByName(judged.where("_leaf").select("_id", "_node"))
+        stuck = stuck.unionByName(judged.where("_stuck and not _leaf").select("_id", "_node"))
+        rows = judged.where("not _leaf and not _stuck").select("_id", "_node", F.col("_n").alias("_parent_size"))
         if rows.isEmpty():
-            return leaves
-    return leaves.unionByName(rows.select("_id", "_node"))
+            return leaves, stuck
+    return leaves, stuck.unionByName(rows.select("_id", "_node"))
+
+
+def _by_rare_tokens(stuck: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(_id, _node): stuck nodes branched by each of a record's rarest tokens, so many of them that two sets of the least
+    similarity share one: no pair of a node is lost, and what all its records share keeps none of them together."""
+    own = classes.join(stuck.select("_id").distinct(), "_id", "left_semi")
+    tokens = own.select("_id", F.explode("_set").alias("_token"))
+    spread = tokens.groupBy("_token").agg(F.count("*").alias("_df"))
+    ordered = F.array_sort(F.collect_list(F.struct("_df", "_token")))
+    first = tokens.join(spread, "_token").groupBy("_id").agg(ordered.alias("_t"))
+    size = F.size("_t")
+    rarest = F.slice("_t", F.lit(1), (size - F.ceil(size * least - 1e-9) + 1).cast("int"))
+    each = first.select("_id", F.explode(rarest).alias("_r")).select("_id", F.col("_r._token").alias("_token"))
+    return stuck.join(each, "_id").select("_id", F.xxhash64("_node", "_token").alias("_node"))
+
+
+def _sides(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_id, _node, _i, _j) twice: every two records of a leaf meet once, on the left and on the right of some key. A leaf
+    of more than BLOCK records is split, and every pair of its blocks is a key of its own."""
+    sizes = leaves.groupBy("_node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    rows = leaves.join(sizes, "_node").withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
+    left = rows.select("_id", "_node", F.col("_block").alias("_i"), F.explode(F.sequence("_block", F.col("_blocks") - 1)).alias("_j"))
+    right = rows.select("_id", "_node", F.explode(F.sequence(F.lit(0), "_block")).alias("_i"), F.col("_block").alias("_j"))
+    return left, right
 
 
 def similar_sets(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +132,8 @@ def similar_sets(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 
     A class is the records with one set, named by its least id. Candidates come from the leaves of the chosen-path
     trees; a one-bit sketch drops the clearly unlike (a true pair is dropped with a chance under one in a million), and
-    the sets themselves decide. Every pair of a leaf is looked at: there is no cap on partners.
+    the sets themselves decide. Every pair of a leaf is looked at, in blocks: there is no cap on partners. Nodes that don't
+    shrink by minwise tokens (records of one template) are split by rare tokens, which loses no pair.
     """
     spark = sets.sparkSession
     keyed = sets.withColumn("_digest", F.unhex(F.sha2(F.array_join(F.transform("_set", lambda x: F.hex(x)), " "), 256)))
@@ -112,20 +143,23 @@ def similar_sets(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     classes = keyed.join(reps.select("_digest", F.col("_class").alias("_id")), ["_digest", "_id"]).select("_id", "_set")
     classes = cut(classes.repartition(parallelism(spark), "_id"))
     features = cut(classes.mapInPandas(_features, _FEATURES))
-    leaves = _leaves(features)
+    leaves, stuck = _leaves(features)
+    if not stuck.isEmpty():
+        leaves = leaves.unionByName(_by_rare_tokens(stuck.distinct(), classes, least))
     sketch = [f"_s{i}" for i in range(BITS // 64)]
-    sides = leaves.join(features.select("_id", "_size", *sketch), "_id")
-    left = sides.select("_node", F.col("_id").alias("_a"), F.col("_size").alias("_na"), *[F.col(s).alias("_l" + s) for s in sketch])
-    right = sides.select("_node", F.col("_id").alias("_b"), F.col("_size").alias("_nb"), *[F.col(s).alias("_r" + s) for s in sketch])
+    known = features.select("_id", "_size", *sketch)
+    left, right = (side.join(known, "_id") for side in _sides(leaves))
+    left = left.select("_node", "_i", "_j", F.col("_id").alias("_a"), F.col("_size").alias("_na"), *[F.col(s).alias("_l" + s) for s in sketch])
+    right = right.select("_node", "_i", "_j", F.col("_id").alias("_b"), F.col("_size").alias("_nb"), *[F.col(s).alias("_r" + s) for s in sketch])
     alike = (1 + least) / 2
     fewest = BITS * alike - DEVIATIONS * (BITS * alike * (1 - alike)) ** 0.5
     unlike = sum((F.bit_count(F.col("_l" + s).bitwiseXOR(F.col("_r" + s))) for s in sketch), F.lit(0))
     candidates = (
-        left.join(right, "_node")
-        .where("_a < _b")
+        left.join(right, ["_node", "_i", "_j"])
+        .where("_i < _j or _a < _b")
         .where(F.least("_na", "_nb") >= least * F.greatest("_na", "_nb") - 1e-9)
         .where(BITS - unlike >= fewest)
-        .select("_a", "_b")
+        .select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
         .distinct()
     )
     first = classes.select(F.col("_id").alias("_a"), F.col("_set").alias("_set_a"))

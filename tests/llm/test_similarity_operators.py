@@ -82,6 +82,23 @@ def test_near_duplicates_agree_with_brute_force(spark, monkeypatch):
     assert all(g <= i for i, (g, _) in groups.items())
 
 
+def test_near_duplicates_of_one_template(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SMALL", 6)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    draw, texts = random.Random(3), {}
+    common = [f"common{i}" for i in range(18)]
+    for i in range(300):
+        texts[i] = " ".join(common + [f"own{i}x{j}" for j in range(12)])  # six tenths in common: similarity below one half
+    for i in range(300, 360):  # near-duplicates among them
+        words = texts[draw.randrange(300)].split()
+        words[draw.randrange(18, 30)] = f"edit{i}"
+        texts[i] = " ".join(words)
+    rows = spark.createDataFrame([(i, t, None) for i, t in texts.items()], "rec_id bigint, matn string, en string")
+    links, members = near_duplicates.similar_sets(near_duplicates.word_sets(rows, "rec_id", "matn", "en"), 0.7)
+    got = {(r.rec_a, r.rec_b) for r in near_duplicates.pairs(links, members).collect()}
+    assert got == jaccard_pairs({i: set(t.split()) for i, t in texts.items()}, 0.7)
+
+
 def test_near_duplicates_of_hot_copies_and_nothing(spark):
     frame = spark.range(500).select(F.col("id").alias("rec_id"), F.when(F.col("id") % 3 == 0, "same words for a third of all").otherwise(F.concat(F.lit("own text of number n"), "id", F.lit(" m"), "id")).alias("t"))
     links, members = near_duplicates.similar_sets(near_duplicates.word_sets(frame, "rec_id", "t"), 0.8)
