@@ -51,31 +51,49 @@ def _window(values: np.ndarray, size: int, least: bool) -> np.ndarray:
     return values
 
 
-def anchors(text: str, span: int, phrase: int) -> np.ndarray:
-    """Starts of the phrases that are least in one of their windows: any two texts with a common run of span code
-    points choose a common phrase within it, for the choice depends on the run alone."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def anchors(texts: list[str], span: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, start) of the phrases that are least in one of their windows, of all texts at once: any two texts with a
+    common run of span code points choose a common phrase within it, for the choice depends on the run alone."""
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    codes = _codes("".join(texts))
     if len(codes) < span:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = _gram_hashes(codes, phrase, 1)
     wide = span - phrase + 1
     lowest = _window(hashes, wide, True)
+    # a window that reaches into the next text is nobody's: no phrase is least in it
+    starts = np.arange(len(lowest))
+    text = np.searchsorted(ends, starts, "right")
+    lowest[starts + span > ends[text]] = 0
     padded = np.concatenate([np.zeros(wide - 1, np.uint64), lowest, np.zeros(wide - 1, np.uint64)])
-    return np.flatnonzero(_window(padded, wide, False) == hashes)
+    at = np.flatnonzero((_window(padded, wide, False) == hashes) & (hashes != 0))
+    text = np.searchsorted(ends, at, "right")
+    return text, at - (ends[text] - sizes[text])
+
+
+def _pieces(batch: pd.DataFrame, most: int = 1 << 21) -> Iterator[pd.DataFrame]:
+    """A batch in parts of about so many characters (or of one longer text)."""
+    part = np.cumsum(batch["_text"].str.len().to_numpy()) // most
+    for _, rows in batch.groupby(part, sort=True):
+        yield rows
 
 
 def _anchor_rows(span: int, phrase: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for fld, key, text in batch.itertuples(index=False):
-                met: dict[str, int] = {}
-                for p in anchors(text, span, phrase).tolist():
-                    met.setdefault(text[p : p + phrase], p)
-                if met:
-                    hashes = pd.util.hash_array(np.array(list(met), object), categorize=False).view(np.int64)
-                    out.extend((fld, key, h, p) for h, p in zip(hashes.tolist(), met.values()))
-            yield pd.DataFrame(out, columns=["_fld", "_key", "_hash", "_at"])
+            for rows in _pieces(batch):
+                texts = rows["_text"].tolist()
+                of, at = anchors(texts, span, phrase)
+                found = pd.DataFrame({"_of": of, "_at": at, "_text": [texts[i][p : p + phrase] for i, p in zip(of.tolist(), at.tolist())]})
+                found = found.drop_duplicates(["_of", "_text"])
+                hashes = pd.util.hash_array(found["_text"].to_numpy(object), categorize=False).view(np.int64)
+                own = rows.iloc[found["_of"].to_numpy()]
+                yield pd.DataFrame({"_fld": own["_fld"].to_numpy(), "_key": own["_key"].to_numpy(), "_hash": hashes, "_at": found["_at"].to_numpy(np.int32)})
 
     return run
 
