@@ -14,15 +14,17 @@ from siftline.session import cut, parallelism
 
 #: Independent trees, and children that a node has for each of its records: with similarity s a pair stays together
 #: in a tree as long as a branching process with mean 2 s lives (0.85 at s = 0.7 over three levels).
-TREES, CHILDREN = 4, 2
-#: Records up to which a node is compared exhaustively, and the share of its parent from which a node no longer shrinks:
-#: its records are then told apart by their rarest tokens instead (see _by_rare_tokens).
-SMALL, STUCK = 96, 0.5
+TREES, CHILDREN = 6, 2
+#: Records up to which a node is compared exhaustively. A node that keeps more than STUCK of its parent, and did so the
+#: level before, no longer shrinks: up to LARGE records it is compared exhaustively, beyond that its records are told
+#: apart by their rarest tokens.
+SMALL, STUCK, LARGE = 256, 0.85, 2_048
 DEEPEST = 24
 #: Records of one side of a comparison in one task: larger leaves are compared in pairs of blocks.
 BLOCK = 512
-#: Minwise tokens per record that the paths choose from.
-COORDINATES = 64
+#: Minwise tokens per record that the paths choose from, in bands: every level has its own, so its coordinates are fresh.
+BANDS, BAND = 8, 8
+COORDINATES = BANDS * BAND
 #: One-bit minwise sketch: bits, and the deviations below the expectation at the threshold from which a pair is dropped.
 BITS, DEVIATIONS = 256, 5.0
 
@@ -63,49 +65,52 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         minwise = lows[:, :COORDINATES].view(np.int32)
         mixed = (lows[:, COORDINATES:] * np.uint32(0x9E3779B1)) >> np.uint32(31)
         bits = np.packbits(mixed.astype(np.uint8), axis=1).view(">i8").astype(np.int64)
-        out = {"_id": batch["_id"], "_size": [len(s) for s in sets], "_minwise": list(minwise)}
+        out = {"_id": batch["_id"], "_size": [len(s) for s in sets]} | {f"_m{k}": list(minwise[:, k * BAND : (k + 1) * BAND]) for k in range(BANDS)}
         yield pd.DataFrame(out | {f"_s{i}": bits[:, i] for i in range(BITS // 64)})
 
 
-_FEATURES = "_id bigint, _size int, _minwise array<int>, " + ", ".join(f"_s{i} bigint" for i in range(BITS // 64))
+_FEATURES = "_id bigint, _size int, " + ", ".join(f"_m{k} array<int>" for k in range(BANDS)) + ", " + ", ".join(f"_s{i} bigint" for i in range(BITS // 64))
 
 
 def _leaves(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(_id, _node) twice: the nodes in which records are to be compared with each other, and those that don't shrink.
 
-    Level by level: every record goes to CHILDREN children of its node, each chosen by one coordinate of the node and
-    the record's minwise token there. Nodes of at most SMALL records are leaves. Nodes of more than STUCK of their
-    parent, whose records share most of their tokens, branch no further by minwise tokens. All others branch again.
+    Level by level: every record goes to CHILDREN children of its node, each chosen by one coordinate of the level's band
+    (which one, the node decides) and the record's minwise token there; a level moves no other tokens. Nodes of at most
+    SMALL records are leaves. Nodes that twice in a row keep more than STUCK of their parent hold records that are nearly
+    all alike, or have nothing rarer than what they share among their coordinates: they branch no further by minwise
+    tokens, and up to LARGE records they are leaves as well. All others branch again.
     """
-    minwise = features.select("_id", "_minwise")
-    rows = minwise.select("_id", F.explode(F.array(*[F.lit(t).cast("bigint") for t in range(TREES)])).alias("_node"))
-    rows = rows.withColumn("_parent_size", F.lit(None).cast("bigint"))
+    rows = features.select("_id", F.explode(F.array(*[F.lit(t).cast("bigint") for t in range(TREES)])).alias("_node"))
+    rows = rows.withColumn("_parent_size", F.lit(None).cast("bigint")).withColumn("_held", F.lit(0))
     leaves = stuck = rows.select("_id", "_node").limit(0)
     level = 0
     while level < DEEPEST:
+        band = features.select("_id", F.col(f"_m{level % BANDS}").alias("_band"))
         level += 1
-        start = F.pmod(F.xxhash64("_node", F.lit(level)), F.lit(COORDINATES))
-        step = 1 + F.pmod(F.xxhash64(F.lit(level), "_node"), F.lit(COORDINATES - 1))
-        places = [F.pmod(start + i * step, F.lit(COORDINATES)).cast("int") for i in range(CHILDREN)]
-        child = F.array(*[F.xxhash64("_node", F.lit(i), F.element_at("_minwise", p + 1)) for i, p in enumerate(places)])
-        moved = rows.join(minwise, "_id").select("_id", "_parent_size", F.explode(child).alias("_node"))
+        start = F.pmod(F.xxhash64("_node", F.lit(level)), F.lit(BAND))
+        step = 1 + F.pmod(F.xxhash64(F.lit(level), "_node"), F.lit(BAND - 1))
+        places = [F.pmod(start + i * step, F.lit(BAND)).cast("int") for i in range(CHILDREN)]
+        child = F.array(*[F.xxhash64("_node", F.lit(i), F.element_at("_band", p + 1)) for i, p in enumerate(places)])
+        moved = rows.join(band, "_id").select("_id", "_parent_size", "_held", F.explode(child).alias("_node"))
         moved = cut(moved)
-        sizes = moved.groupBy("_node").agg(F.count("*").alias("_n"), F.max("_parent_size").alias("_up"))
-        many = sizes.where(F.col("_n") > 1).select(
-            "_node", "_n", (F.col("_n") <= SMALL).alias("_leaf"), F.coalesce(F.col("_n") > F.col("_up") * STUCK, F.lit(False)).alias("_stuck")
-        )
+        sizes = moved.groupBy("_node").agg(F.count("*").alias("_n"), F.max("_parent_size").alias("_up"), F.max("_held").alias("_held"))
+        stays = F.coalesce(F.col("_n") > F.col("_up") * STUCK, F.lit(False))
+        known = sizes.where(F.col("_n") > 1).select("_node", "_n", F.when(stays, F.col("_held") + 1).otherwise(0).alias("_held"))
+        still = F.col("_held") >= 2
+        many = known.withColumn("_leaf", (F.col("_n") <= SMALL) | (still & (F.col("_n") <= LARGE))).withColumn("_stuck", still)
         judged = cut(moved.select("_id", "_node").join(many, "_node"))
         leaves = leaves.unionByName(judged.where("_leaf").select("_id", "_node"))
         stuck = stuck.unionByName(judged.where("_stuck and not _leaf").select("_id", "_node"))
-        rows = judged.where("not _leaf and not _stuck").select("_id", "_node", F.col("_n").alias("_parent_size"))
+        rows = judged.where("not _leaf and not _stuck").select("_id", "_node", F.col("_n").alias("_parent_size"), "_held")
         if rows.isEmpty():
             return leaves, stuck
     return leaves, stuck.unionByName(rows.select("_id", "_node"))
 
 
 def _by_rare_tokens(stuck: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(_id, _node): stuck nodes branched by each of a record's rarest tokens, so many of them that two sets of the least
-    similarity share one: no pair of a node is lost, and what all its records share keeps none of them together."""
+    """(_id, _node): the records of stuck nodes branched by each of their rarest tokens, so many of them that two sets of
+    the least similarity share one: no pair is lost, and what all records share keeps none of them together."""
     own = classes.join(stuck.select("_id").distinct(), "_id", "left_semi")
     tokens = own.select("_id", F.explode("_set").alias("_token"))
     spread = tokens.groupBy("_token").agg(F.count("*").alias("_df"))
@@ -113,8 +118,8 @@ def _by_rare_tokens(stuck: DataFrame, classes: DataFrame, least: float) -> DataF
     first = tokens.join(spread, "_token").groupBy("_id").agg(ordered.alias("_t"))
     size = F.size("_t")
     rarest = F.slice("_t", F.lit(1), (size - F.ceil(size * least - 1e-9) + 1).cast("int"))
-    each = first.select("_id", F.explode(rarest).alias("_r")).select("_id", F.col("_r._token").alias("_token"))
-    return stuck.join(each, "_id").select("_id", F.xxhash64("_node", "_token").alias("_node"))
+    each = first.select("_id", F.explode(rarest).alias("_r"))
+    return each.select("_id", F.xxhash64(F.lit(TREES), "_r._token").alias("_node"))
 
 
 def _sides(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +150,8 @@ def similar_sets(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     features = cut(classes.mapInPandas(_features, _FEATURES))
     leaves, stuck = _leaves(features)
     if not stuck.isEmpty():
-        leaves = leaves.unionByName(_by_rare_tokens(stuck.distinct(), classes, least))
+        leaves = leaves.unionByName(_by_rare_tokens(stuck, classes, least))
+    leaves = cut(leaves)
     sketch = [f"_s{i}" for i in range(BITS // 64)]
     known = features.select("_id", "_size", *sketch)
     left, right = (side.join(known, "_id") for side in _sides(leaves))

@@ -84,6 +84,7 @@ def test_near_duplicates_agree_with_brute_force(spark, monkeypatch):
 
 def test_near_duplicates_of_one_template(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "SMALL", 6)
+    monkeypatch.setattr(near_duplicates, "LARGE", 40)
     monkeypatch.setattr(near_duplicates, "BLOCK", 16)
     draw, texts = random.Random(3), {}
     common = [f"common{i}" for i in range(18)]
