@@ -18,9 +18,12 @@ from siftline.session import cut
 CROWDED = 0.2
 #: Rounds in which the lexicon is learned from the alignments so far; association and count from which a pair is kept.
 ROUNDS, ASSOCIATED, TOGETHER = 2, 0.1, 2
-#: Share of a sentence's words that a chain has to cover, and how far it may lean from the slope of the space.
-#: A chain of nearly all words may lean more: the parts of a merged sentence may stand in another order.
-COVERED, LEAN, WHOLE = 0.6, -0.35, 0.8
+#: Share of a sentence's words that a chain has to cover, and the share from which it may run in any direction: the parts
+#: of a merged sentence may stand in another order, an inversion inside the block.
+COVERED, WHOLE = 0.6, 0.8
+#: How far a chain's slope may deviate from its rectangle's diagonal and its points scatter around it. Points without any
+#: order have slope 0, a deviation of 1, and scatter by the square root of 1/6, 0.41: a chain stays below both.
+SLOPE, SCATTER = 1.0, 0.4
 #: The same for what other chains left of a sentence: share, points, and share of the words between its ends.
 REST, REST_POINTS, DENSE = 0.4, 4, 0.7
 AND = "\u0648"
@@ -74,6 +77,22 @@ def _chain(a: list[int], b: list[int], near: dict[int, list[int]], slope: float)
     return chain
 
 
+def straight(chain: list[tuple[int, int]]) -> bool:
+    """Whether a chain rises like the diagonal of the rectangle it spans: the slope of its least-squares line, in that
+    diagonal's measure, deviates from it by less than SLOPE, and its points scatter around the diagonal by less than
+    SCATTER of the rectangle."""
+    x0, x1 = chain[0][0], chain[-1][0]
+    y0, y1 = min(y for _, y in chain), max(y for _, y in chain)
+    if x1 == x0 or y1 == y0:
+        return True
+    u = [(x - x0) / (x1 - x0) for x, _ in chain]
+    v = [(y - y0) / (y1 - y0) for _, y in chain]
+    n, mu, mv = len(chain), sum(u) / len(u), sum(v) / len(v)
+    slope = sum((a - mu) * (b - mv) for a, b in zip(u, v)) / sum((a - mu) ** 2 for a in u)
+    scatter = math.sqrt(sum((a - b) ** 2 for a, b in zip(u, v)) / n)
+    return abs(slope - 1) < SLOPE and scatter < SCATTER
+
+
 def weight(texts: int, total: int) -> float:
     """Of a word in so many of the texts: 1 up to CROWDED of them, next to nothing for a word of every text."""
     return min(1.0, math.log((total + 1) / texts) / math.log(1 / CROWDED))
@@ -82,10 +101,12 @@ def weight(texts: int, total: int) -> float:
 def blocks(ar: list[str], ars: list[int], en: list[str], ens: list[int], partners, light: tuple[dict, dict] = ({}, {})) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """(ar sentence, en sentence, chain) of every pair of sentences that a chain of correspondences joins.
 
-    Rectangles start from pairs of sentences with words in common; the chain that covers the largest share of its
-    shorter side is taken first, then its points' rows and columns are noise for all other chains, which are measured
-    anew on what is left. So a second chain in the same row or column is a merged sentence, one on the other side of
-    the diagonal an inversion. A chain must not run against the slope of the space.
+    Search rectangles lie around the diagonal of the space, one for every row of sentences, and begin with the columns
+    that the diagonal crosses there. In them chains are looked for that keep to their slope and scatter (see straight);
+    the one that covers the largest share of its shorter side is taken first, then its points' rows and columns are
+    noise for all other chains, which are measured anew on what is left. Where no chain fits any more, the rectangles
+    grow by a sentence to either side, until they span the space. So a second chain in the same row or column is a
+    merged sentence, one away from the diagonal a moved sentence or an inversion; both become blocks.
 
     light: weights of the common words of either side. Two sentences are measured by their other words; if these don't
     join them, or one of the sentences has none, by all words with their weights. What chains left of a sentence is
@@ -151,17 +172,24 @@ def blocks(ar: list[str], ars: list[int], en: list[str], ens: list[int], partner
             between = min(sum(chain[0][0] <= x <= chain[-1][0] for x in a), sum(low <= y <= high for y in b))
             if len(chain) < DENSE * between:
                 return None
-        if len(chain) > 3:
-            nth = {y: k for k, y in enumerate(sorted(y for _, y in chain))}  # words of the first side come in order
-            n = len(chain)
-            rank = 1 - 6 * sum((k - nth[y]) ** 2 for k, (_, y) in enumerate(chain)) / (n * (n * n - 1))
-            if rank < LEAN and share < WHOLE:
-                return None
+        if len(chain) > 3 and share < WHOLE and not straight(chain):
+            return None
         return len(chain) * share, -abs(i / tall - j / wide), -i, -j, chain
 
-    open_ = {c: m for c in met if (m := measure(*c))}
-    found, taken = [], set()
-    while open_:
+    # rectangles: around every row of the space, from the columns where its diagonal crosses it to both sides
+    rings: dict[int, list[tuple[int, int]]] = {}
+    for i, j in met:
+        rings.setdefault(int(abs((j + 0.5) - (i + 0.5) * wide / tall)), []).append((i, j))
+    open_: dict[tuple[int, int], tuple] = {}
+    found, taken, seen = [], set(), set()
+    radius = -1
+    while open_ or rings:
+        if not open_:  # no chain fits: the rectangles grow
+            radius += 1
+            grown = rings.pop(radius, [])
+            seen.update(grown)
+            open_ = {c: m for c in grown if (m := measure(*c))}
+            continue
         (i, j), best = max(open_.items(), key=lambda kv: kv[1][:4])
         found.append((i, j, best[4]))
         also = _chain(rows[i], columns[j], near, slope) if light_ar or light_en else []
@@ -172,7 +200,7 @@ def blocks(ar: list[str], ars: list[int], en: list[str], ens: list[int], partner
         cut_columns.add(j)
         taken.add((i, j))
         del open_[i, j]
-        for c in [c for c in met if (c[0] == i or c[1] == j) and c not in taken]:
+        for c in [c for c in seen if (c[0] == i or c[1] == j) and c not in taken]:
             if m := measure(*c):
                 open_[c] = m
             else:
