@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there and survives lost executors.
 
-    The table is dropped when the driver's Python ends.
+    The table is dropped at the end of the scope() it is written in, else when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/siftline-{uuid.uuid4().hex}"
@@ -56,9 +58,24 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Drops, at its end, the tables that cut() wrote inside: for long-lived drivers, around a query and its use."""
+    before = len(_LIVE)
+    try:
+        yield
+    finally:
+        _drop(_LIVE[before:])
+        del _LIVE[before:]
+
+
 @atexit.register
 def _drop_tables() -> None:
-    for spark, path in _LIVE:
+    _drop(_LIVE)
+
+
+def _drop(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)

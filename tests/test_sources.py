@@ -1,8 +1,10 @@
 import gzip
 import json
+from pathlib import Path
 
 import pytest
 
+from siftline import session
 from siftline.sources import codec, tables
 
 
@@ -56,3 +58,22 @@ def test_catalogue_and_manifest(spark, tmp_path):
     assert tables.catalogue(spark, f"{tmp_path}/catalog.json").first().hadiths == 3
     tables.merge_manifest(f"{tmp_path}/m.json", words={"n": 1})
     assert tables.merge_manifest(f"{tmp_path}/m.json", vectors=2) == {"words": {"n": 1}, "vectors": 2}
+
+
+def test_tables_end_with_their_scope(spark):
+    with session.scope():
+        kept = session.cut(spark.range(3))
+        path = kept.inputFiles()[0]
+        assert kept.count() == 3
+    assert not Path(path.removeprefix("file://")).exists()
+
+
+def test_books_are_read_by_folder_and_catalogue_comes_back(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "b", 1)], "rec_id bigint, collection string, book_number int")
+    tables.write_books(rows, str(tmp_path / "books"), compression="gzip")
+    assert [r.rec_id for r in tables.read_book(spark, str(tmp_path / "books"), [("a", 2)]).collect()] == [2]
+    assert {r.rec_id for r in tables.read_book(spark, str(tmp_path / "books"), rows.where("book_number = 1")).collect()} == {1, 3}
+    books = spark.createDataFrame([("a", 1, "One", "ا", 5, 2, "a/1"), ("a", 2, "Two", None, 3, 0, "a/2")], "collection string, book_number int, english string, arabic string, hadiths int, chapters int, source_file string")
+    tables.write_catalogue(books, str(tmp_path / "catalogue"))
+    got = tables.catalogue(spark, str(tmp_path / "catalogue")).orderBy("book_number").collect()
+    assert [(r.collection, r.book_number, r.english, r.hadiths, r.file) for r in got] == [("a", 1, "One", 5, "a/1"), ("a", 2, "Two", 3, "a/2")]
