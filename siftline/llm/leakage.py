@@ -13,8 +13,9 @@ from siftline.functions.words import WordReader
 
 #: Words of a leaked passage, and word edits within which a passage is looked for.
 RUN, BUDGET = 12, 1
-#: Test items up to this size in bytes are broadcast; larger sets are matched in blocks of this size.
-BLOCK_BYTES = 8 << 20
+#: Test items up to this size in bytes are broadcast (about six times as much memory a worker); larger sets are matched in
+#: blocks of this size, with one pass over the documents each.
+BLOCK_BYTES = 32 << 20
 
 _FIELDS = "item_id bigint, words int, distance int"
 
@@ -63,15 +64,24 @@ class Items:
             if len(ids) >= run:
                 self.words.append(ids)
                 self.ids.append(item)
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for item, ids in enumerate(self.words):
-            for s in range(len(ids) - self.piece + 1):
-                places.setdefault(tuple(ids[s : s + self.piece]), []).append((item, s))
-        self.places = places
         #: Odd multipliers of a rolling key; keys only choose candidates, the pieces themselves are compared after.
         self.by = np.random.default_rng(7).integers(1, 1 << 62, self.piece, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        pieces = np.array(list(places), np.uint64).reshape(len(places), self.piece)
-        self.keys = np.unique(self.key([pieces[:, j] for j in range(self.piece)]))
+        #: All pieces as arrays, in the order of their keys: item, and place in it (16 bytes a piece).
+        sizes = np.array([len(ids) for ids in self.words], np.int64)
+        flat = np.array([w for ids in self.words for w in ids], np.uint64)
+        of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        inside = np.flatnonzero(at + self.piece <= sizes[of])
+        keys = self.key([flat[inside + j] for j in range(self.piece)])
+        order = np.argsort(keys, kind="stable")
+        self.every, self.item_of, self.place = keys[order], of[inside][order], at[inside][order].astype(np.int32)
+        self.keys = np.unique(keys)
+
+    def found(self, key: np.uint64, piece: list[int]) -> list[tuple[int, int]]:
+        """(item, place) of a piece with this key."""
+        a, b = np.searchsorted(self.every, key, "left"), np.searchsorted(self.every, key, "right")
+        met = zip(self.item_of[a:b].tolist(), self.place[a:b].tolist())
+        return [(i, s) for i, s in met if self.words[i][s : s + self.piece] == piece]
 
     def key(self, columns: list[np.ndarray]) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -113,7 +123,8 @@ def _searched(shared) -> object:
             row = np.asarray(flat, np.uint64)
             out = []
             if len(row) >= n and len(items.keys):
-                found = np.isin(items.key([row[j : len(row) - n + 1 + j] for j in range(n)]), items.keys)
+                keys = items.key([row[j : len(row) - n + 1 + j] for j in range(n)])
+                found = np.isin(keys, items.keys)
                 known = row != 0
                 for j in range(n):  # an unknown word can't stand in a piece
                     found &= known[j : len(row) - n + 1 + j]
@@ -125,7 +136,7 @@ def _searched(shared) -> object:
                 for hit, d in zip(hits.tolist(), at.tolist()):
                     if d != of:
                         doc, of = flat[starts[d] : starts[d + 1] - 1], d
-                    for item, s in items.places.get(tuple(flat[hit : hit + n]), ()):
+                    for item, s in items.found(keys[hit], flat[hit : hit + n]):
                         if passed.get((d, item, hit - s), -1) >= hit:
                             continue  # inside the exact run that a hit before it gave
                         length, distance = items.verify(doc, hit - starts[d], item, s)
@@ -135,8 +146,8 @@ def _searched(shared) -> object:
                             own = d, items.ids[item]
                             old = best.get(own, (0, distance))
                             best[own] = (max(old[0], length), min(old[1], distance))
-                keys = batch["_key"].tolist()
-                out = [(keys[d], item, length, distance) for (d, item), (length, distance) in best.items()]
+                names = batch["_key"].tolist()
+                out = [(names[d], item, length, distance) for (d, item), (length, distance) in best.items()]
             yield pd.DataFrame(out, columns=["_key", "item_id", "words", "distance"])
 
     return search
