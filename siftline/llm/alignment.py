@@ -131,9 +131,13 @@ def blocks(ar: list[str], ars: list[int], en: list[str], ens: list[int], partner
     for y, s in enumerate(ens):
         columns.setdefault(s, []).append(y)
     met: dict[tuple[int, int], int] = {}
+    weighed: dict[tuple[int, int], float] = {}
     for x, ys in near.items():
+        w = light_ar.get(ar[x], 1.0)
         for t in {ens[y] for y in ys}:
-            met[ars[x], t] = met.get((ars[x], t), 0) + 1
+            c = ars[x], t
+            met[c] = met.get(c, 0) + 1
+            weighed[c] = weighed.get(c, 0.0) + w
     tall, wide = max(ars) + 1, max(ens) + 1
     full_a = {x for x, w in enumerate(ar) if w not in light_ar}
     full_b = {y for y, w in enumerate(en) if w not in light_en}
@@ -154,6 +158,13 @@ def blocks(ar: list[str], ars: list[int], en: list[str], ens: list[int], partner
         return judged(i, j, a, b, True)
 
     def judged(i: int, j: int, a: list[int], b: list[int], weighted: bool):
+        # no chain has more points, or weighs more, than the words of the row that have a partner in the column
+        least = REST if i in cut_rows or j in cut_columns else COVERED
+        if weighted:
+            if weighed[i, j] < least * min(sum(light_ar.get(ar[x], 1.0) for x in a), sum(light_en.get(en[y], 1.0) for y in b)) - 1e-9:
+                return None
+        elif met[i, j] < least * min(len(a), len(b)):
+            return None
         chain = _chain(a, b, near, slope)
         if not chain:
             return None
