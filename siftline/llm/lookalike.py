@@ -10,6 +10,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.session import cut
+
 #: Compatibility mappings of these kinds change a character's code, not its look.
 SAME_LOOK = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
 #: Format characters that do show.
@@ -145,19 +147,20 @@ def consistent(texts: DataFrame, keys: list[str], field: str) -> DataFrame:
     data, of fixed size, and are broadcast. keys must identify a text, as rec_id does after the reduction to records.
     """
     known = texts.select(*keys, F.col(field).alias("_text")).where(F.col("_text").isNotNull())
-    known = known.withColumn("_stored", trimmed(F.col("_text"))).where("_stored <> ''")
+    known = known.select(*keys, trimmed(F.col("_text")).alias("_stored")).where("_stored <> ''")
     needs = f"[^{PLAIN}{PLAIN_MARKS}]|[{PLAIN_MARKS}]{{2}}"
-    odd = F.col("_stored").rlike(needs)
-    pieces = known.where(odd).select(F.struct(*keys).alias("_key"), F.posexplode(F.split("_stored", " ")).alias("_at", "_piece"))
-    met = pieces.where(F.col("_piece").rlike(needs))
+    known = cut(known.withColumn("_odd", F.col("_stored").rlike(needs)))
+    pieces = known.where("_odd").select(F.struct(*keys).alias("_key"), F.posexplode(F.split("_stored", " ")).alias("_at", "_piece"))
+    pieces = cut(pieces.withColumn("_needs", F.col("_piece").rlike(needs)))
+    met = pieces.where("_needs")
     forms = _rebuilt(met.select(F.col("_piece").alias("_key"), F.col("_piece").alias("_text")).distinct()).withColumnRenamed("_key", "_piece")
     mapped = met.join(forms, "_piece", "left").select("_key", "_at", F.coalesce("_form", F.lit("")).alias("_form"))
-    plain = pieces.where(~F.col("_piece").rlike(needs)).select("_key", "_at", F.col("_piece").alias("_form"))
+    plain = pieces.where("not _needs").select("_key", "_at", F.col("_piece").alias("_form"))
     parts = F.array_sort(F.collect_list(F.struct("_at", "_form")))
     whole = mapped.unionByName(plain).groupBy("_key").agg(F.array_join(F.transform(parts, lambda p: p["_form"]), " ").alias("_form"))
-    done = known.where(odd).withColumn("_key", F.struct(*keys)).join(whole, "_key")
+    done = known.where("_odd").withColumn("_key", F.struct(*keys)).join(whole, "_key")
     changed = done.select(*keys, F.col("_stored").alias("stored"), trimmed(F.col("_form")).alias("form"))
-    same = known.where(~odd).select(*keys, F.col("_stored").alias("stored"), F.col("_stored").alias("form"))
+    same = known.where("not _odd").select(*keys, F.col("_stored").alias("stored"), F.col("_stored").alias("form"))
     return changed.unionByName(same)
 
 
