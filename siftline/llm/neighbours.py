@@ -62,26 +62,23 @@ def _permuted(shared, ordered: int):
     return run
 
 
-def _weights(perms: np.ndarray, others: np.ndarray, ordered: int) -> np.ndarray:
+def _posted(perms: np.ndarray, ordered: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """pivot -> (rows that have it among their nearest, rank weights)."""
+    n, width = perms.shape
+    order = np.argsort(perms, axis=None, kind="stable")
+    pivots = perms.ravel()[order]
+    rows, weights = np.repeat(np.arange(n), width)[order], np.tile(np.arange(ordered, ordered - width, -1, dtype=np.int16), n)[order]
+    edges = [0, *(np.flatnonzero(np.diff(pivots)) + 1).tolist(), len(pivots)]
+    return {int(pivots[i]): (rows[i:j], weights[i:j]) for i, j in zip(edges, edges[1:]) if i < j}
+
+
+def _weights(perms: np.ndarray, posted: dict[int, tuple[np.ndarray, np.ndarray]], size: int, ordered: int) -> np.ndarray:
     """Sum over shared pivots of the lesser rank weight: the footrule distance is constant - 2 * this."""
-    total = np.zeros((len(perms), len(others)), np.int16)
-    files: dict[int, tuple[list[int], list[int]]] = {}
-    for j, row in enumerate(others.tolist()):
-        for rank, pivot in enumerate(row):
-            rows, weight = files.setdefault(pivot, ([], []))
-            rows.append(j)
-            weight.append(ordered - rank)
-    posted = {p: (np.array(r), np.array(w, np.int16)) for p, (r, w) in files.items()}
-    asked: dict[int, tuple[list[int], list[int]]] = {}
-    for i, row in enumerate(perms.tolist()):
-        for rank, pivot in enumerate(row):
-            if pivot in posted:
-                rows, weight = asked.setdefault(pivot, ([], []))
-                rows.append(i)
-                weight.append(ordered - rank)
-    for pivot, (rows, weight) in asked.items():
-        at, own = posted[pivot]
-        total[np.ix_(rows, at)] += np.minimum.outer(np.array(weight, np.int16), own)
+    total = np.zeros((len(perms), size), np.int16)
+    for pivot, (rows, weight) in _posted(perms, ordered).items():
+        if pivot in posted:
+            at, own = posted[pivot]
+            total[rows[:, None], at] += np.minimum(weight[:, None], own)
     return total
 
 
@@ -89,7 +86,7 @@ def _ranked(k: int, ordered: int, least: int):
     """Rows come sorted by (cell, block), the block's vectors before its queries; queries stream."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held, ids, perms, matrix = None, [], None, None, None
+        at, held, ids, posted, matrix = None, [], None, {}, None
         for batch in batches:
             out: list[pd.DataFrame] = []
             runs = (batch["_cell"].to_numpy(np.int64) << 32) + (batch["_block"].to_numpy(np.int64) << 1) + batch["_kind"].to_numpy(np.int64)
@@ -107,12 +104,13 @@ def _ranked(k: int, ordered: int, least: int):
                     if not held:
                         continue
                     block = pd.concat(held)
-                    ids, perms, matrix = block["_id"].to_numpy(), np.vstack(block["_near"].tolist()), _matrix(block["_q"])
+                    ids, matrix = block["_id"].to_numpy(), _matrix(block["_q"])
+                    posted = _posted(np.vstack(block["_near"].tolist()), ordered)
                     held = []
                 for c in range(0, len(part), 1024):
                     some = part.iloc[c : c + 1024]
                     mine = some["_id"].to_numpy()
-                    weight = _weights(np.vstack(some["_near"].tolist()), perms, ordered)
+                    weight = _weights(np.vstack(some["_near"].tolist()), posted, len(ids), ordered)
                     own = _matrix(some["_q"])
                     near = own @ matrix.T  # the block's cosines at once; only candidates keep theirs
                     near[(weight < least) | (mine[:, None] == ids[None, :])] = -2
