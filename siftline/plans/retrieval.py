@@ -9,7 +9,7 @@ from siftline.functions import display as D
 from siftline.functions import words as W
 from siftline.operators import evaluation, lexical, ranking, vectors
 from siftline.plans import sql as S
-from siftline.session import cut, stamp
+from siftline.session import FORGET, cut, stamp
 from siftline.sources.tables import latest_records, table
 
 
@@ -59,6 +59,9 @@ class Index:
         return self.kept("fused", lambda: ranking.fuse(self.lexical(), self.similar()))
 
 
+FORGET.append(Index._made.clear)
+
+
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), "text")
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LIVE: list[tuple[SparkSession, str]] = []
 _OWN: dict[str, str] = {}
+#: What to call when tables are dropped: whatever keeps frames over them lets go of them.
+FORGET: list[Callable[[], None]] = []
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -65,6 +67,8 @@ def scope() -> Iterator[None]:
     try:
         yield
     finally:
+        for forget in FORGET:
+            forget()
         _drop(_LIVE[before:])
         del _LIVE[before:]
 
