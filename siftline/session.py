@@ -10,7 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LIVE: list[tuple[SparkSession, str]] = []
+_LIVE: list[tuple[SparkSession, str, DataFrame]] = []
 _OWN: dict[str, str] = {}
 #: What to call when tables are dropped: whatever keeps frames over them lets go of them.
 FORGET: list[Callable[[], None]] = []
@@ -56,21 +56,42 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_folder(spark)}/siftline-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    _LIVE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _LIVE.append((spark, path, written))
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Drops tables of cut() before their scope ends: for those that nothing reads again."""
+    mine = [entry for entry in _LIVE if any(entry[2] is t for t in tables)]
+    _drop(mine)
+    _LIVE[:] = [entry for entry in _LIVE if not any(entry is m for m in mine)]
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run inside go when each of them ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 @contextmanager
 def scope() -> Iterator[None]:
     """Drops, at its end, the tables that cut() wrote inside: for long-lived drivers, around a query and its use."""
-    before = len(_LIVE)
+    before = list(_LIVE)
     try:
         yield
     finally:
         for forget in FORGET:
             forget()
-        _drop(_LIVE[before:])
-        del _LIVE[before:]
+        mine = [entry for entry in _LIVE if not any(entry is b for b in before)]
+        _drop(mine)
+        _LIVE[:] = [entry for entry in _LIVE if not any(entry is m for m in mine)]
 
 
 @atexit.register
@@ -78,8 +99,8 @@ def _drop_tables() -> None:
     _drop(_LIVE)
 
 
-def _drop(tables: list[tuple[SparkSession, str]]) -> None:
-    for spark, path in tables:
+def _drop(tables: list[tuple[SparkSession, str, DataFrame]]) -> None:
+    for spark, path, _ in tables:
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,9 +1,11 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftline import session
 from siftline.llm import near_duplicates, neighbours, shared_spans
 
 
@@ -100,6 +102,40 @@ def test_near_duplicates_of_one_template(spark, monkeypatch):
     assert got == jaccard_pairs({i: set(t.split()) for i, t in texts.items()}, 0.7)
 
 
+def test_near_duplicates_in_parts_keep_the_disk_small(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SMALL", 20)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
+    monkeypatch.setattr(near_duplicates, "SHARE", 3, raising=False)
+    monkeypatch.setattr(near_duplicates, "FEWEST", 1, raising=False)
+    draw, texts = random.Random(21), {}
+    while len(texts) < 240:
+        base = [f"w{draw.randint(0, 90)}" for _ in range(20)]
+        for _ in range(draw.randint(1, 4)):
+            texts[len(texts)] = " ".join([w if draw.random() > 0.06 else f"w{draw.randint(0, 90)}" for w in base])
+    frame = spark.createDataFrame([(i, t, None) for i, t in texts.items()], "rec_id bigint, a string, b string")
+    rows, cut = [], near_duplicates.cut
+
+    def counted(*given):
+        rows.append((table := cut(*given)).count())
+        return table
+
+    shuffles = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    monkeypatch.setattr(near_duplicates, "cut", counted)
+    with session.scope():
+        tables, files = len(session._LIVE), shuffles()
+        links, members = near_duplicates.similar_sets(near_duplicates.word_sets(frame, "rec_id", "a", "b"), 0.7)
+        for _ in range(50):  # they go in the background
+            if shuffles() <= files:
+                break
+            time.sleep(0.2)
+        assert shuffles() <= files
+        kept = [entry[1] for entry in session._LIVE[tables:]]
+        assert sum(spark.read.parquet(path).count() for path in kept) == members.count() + links.count()
+        assert max(rows) <= 4 * len(texts)
+        got = [tuple(r) for r in near_duplicates.pairs(links, members).collect()]
+    assert len(got) == len(set(got)) and set(got) == jaccard_pairs({i: set(t.split()) for i, t in texts.items()}, 0.7)
+
+
 def test_near_duplicates_of_hot_copies_and_nothing(spark):
     frame = spark.range(500).select(F.col("id").alias("rec_id"), F.when(F.col("id") % 3 == 0, "same words for a third of all").otherwise(F.concat(F.lit("own text of number n"), "id", F.lit(" m"), "id")).alias("t"))
     links, members = near_duplicates.similar_sets(near_duplicates.word_sets(frame, "rec_id", "t"), 0.8)
