@@ -30,7 +30,7 @@ COORDINATES = BANDS * BAND
 BITS, DEVIATIONS = 256, 5.0
 #: Rows in hand at a time, for each class of equal sets and at least: what goes beyond is worked on part after part, so the
 #: disk in use follows the records and not the nodes they are in. Nothing is left out by it.
-SHARE, FEWEST = 5, 2_000_000
+SHARE, FEWEST = 8, 2_000_000
 #: Rows that a worker compares at once, and pairs that it hands on at once.
 CHUNK, HANDED = 100_000, 1_000_000
 
