@@ -20,13 +20,14 @@ def scores(terms: DataFrame, posted: DataFrame, vocabulary: DataFrame, total: Co
     """(query_id, doc_id, grp, pos, tf, idf, score): what every group adds to every document it meets; pos is the place
     of the spelling it meets with. posted has (term, doc_id, tf, doc_len).
 
-    One exchange, by (query_id, doc_id), serves the best spelling of a group and everything that sums up a document."""
+    One exchange, by (query_id, doc_id), serves the best spelling of a group and everything that sums up a document. posted
+    is never broadcast: Spark goes by the size of its compressed files, a small part of what its rows take."""
     total, average = F.lit(total), F.lit(average)
     idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     own = Window.partitionBy("query_id", "grp")
     worth = F.coalesce(F.min(F.when(F.length("term") >= 3, idf)).over(own), F.min(idf).over(own))
     known = terms.join(vocabulary, "term").select("query_id", "grp", "pos", "term", worth.alias("idf"))
-    met = known.join(posted, "term").select(
+    met = known.join(posted.hint("merge"), "term").select(
         "query_id", "doc_id", "grp", (F.col("tf") * _PLACES + (_PLACES - 1 - F.col("pos"))).alias("_packed"), "idf", "doc_len"
     )
     best = met.repartition("query_id", "doc_id").groupBy("query_id", "doc_id", "grp").agg(F.max("_packed").alias("_m"), F.max("idf").alias("idf"), F.max("doc_len").alias("doc_len"))

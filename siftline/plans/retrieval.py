@@ -280,9 +280,9 @@ def _markers(spark: SparkSession, folder: str) -> DataFrame:
     return met.where("n = size(words)").select("query_id", F.array_join("words", " ").alias("phrase"), "words")
 
 
-def _flat(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record's distinct content words in their order, joined by spaces."""
-    rows = latest_records(spark, folder, "ar", "en")
+def _flat(spark: SparkSession, folder: str, only: DataFrame | None = None) -> DataFrame:
+    """Every record's distinct content words in their order, joined by spaces; only: the rec_ids wanted."""
+    rows = latest_records(spark, folder, "ar", "en", only=only)
     return rows.select(F.col("rec_id").alias("doc_id"), D.content_words(D.text_of(F.col("ar"), F.col("en"))).alias("words")).withColumn("text", F.array_join("words", " "))
 
 
@@ -293,9 +293,12 @@ def unanswerable(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, folder: str, ranked: DataFrame) -> DataFrame:
+    """Words are made for the ranked records only, and never broadcast: Spark counts 20 bytes for all words of a record,
+    so it would take those of a whole corpus for a small table."""
     markers = _markers(spark, folder).groupBy("query_id").agg(F.collect_set("words").alias("markers"))
-    body = _flat(spark, folder).select("doc_id", "words")
-    rows = ranked.where("rank <= 10").select("query_id", "doc_id", "rank").join(markers, "query_id").join(body, "doc_id")
+    first = ranked.where("rank <= 10").select("query_id", "doc_id", "rank")
+    body = _flat(spark, folder, first.select(F.col("doc_id").alias("rec_id"))).select("doc_id", "words").hint("merge")
+    rows = first.join(markers, "query_id").join(body, "doc_id")
     return evaluation.first_good(rows, evaluation.answers_with(F.col("words"), F.col("markers")))
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.operators import asof, browse, evaluation, lexical, ranking, vectors
+from siftline.plans import retrieval
 
 
 def docs(spark, *texts):
@@ -183,3 +184,27 @@ def test_topics_and_headings(spark):
     heads = {r.rec_id: r.heading for r in browse.headed(records, chapters).collect()}
     assert heads == {1: "On rain", 2: None, 3: "باب المطر", 4: None}
     assert browse.filter_topics(browse.keyed_topics(browse.topics(chapters, records), spark.createDataFrame([("c", 1, "Book", "")], "collection string, book_number int, english string, arabic string")), "RAIN").count() == 1
+
+
+def test_postings_are_never_broadcast(spark, tmp_path):
+    """Compressed files of a few MB hold postings that a driver has no room for."""
+    lexical.postings(docs(spark, "camel river", "camel camel", "stone"), lengths=True).write.parquet(str(tmp_path / "posted"))
+    posted = spark.read.parquet(str(tmp_path / "posted"))
+    found = ranking.scores(lexical.query_terms(asked(spark, "camel", "stone")), posted, lexical.vocabulary(posted, 3, 1.0), 3, 2)
+    assert "SortMergeJoin [term" in found._jdf.queryExecution().sparkPlan().toString()
+    assert {(r.query_id, r.doc_id, r.tf) for r in found.collect()} == {(0, 0, 1), (0, 1, 2), (1, 2, 1)}
+
+
+def test_words_of_records_are_never_broadcast(spark, tmp_path):
+    """Spark counts 20 bytes for all words of a record, so the words of a whole corpus look like a small table."""
+    folder = str(tmp_path)
+    text = "struct<sanad:string,matn:string>"
+    rows = [(1, 1, ("", ""), "patience in anger"), (1, 2, ("", ""), "a journey by camel"), (2, 1, ("", ""), "patience in times of anger"), (3, 1, ("", ""), "the camel"), (None, 1, ("", ""), "patience anger")]
+    spark.createDataFrame(rows, f"rec_id bigint, scraped_at bigint, ar {text}, en string").write.parquet(f"{folder}/hadiths.parquet")
+    spark.createDataFrame([(0, "how to keep patience in anger"), (1, "the camel of the river")], "item_id bigint, text string").write.parquet(f"{folder}/eval_items.parquet")
+    spark.createDataFrame([("patience anger",), ("camel",), ("palm",)], "en_term string").write.parquet(f"{folder}/glossary.parquet")
+    ranked = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (1, 2, 1), (1, 3, 11)], "query_id bigint, doc_id bigint, rank int")
+    found = retrieval._answers(spark, folder, ranked)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [doc_id" in plan and "BroadcastHashJoin [doc_id" not in plan
+    assert {(r.query_id, r["rank"]) for r in found.collect()} == {(0, 2), (1, None)}
